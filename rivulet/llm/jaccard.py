@@ -228,7 +228,6 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles, component_id (as the id column)."""
-    kind = docs.schema[id_col].dataType
     text = F.col(text_col).cast("string")
     docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     base = materialize(_prefixes(docs, _ranks(docs)))
@@ -278,7 +277,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     known = placed.join(least, "label").select("a", "b", "n", "component_id")
     out = base.select("id", "a", "b", "n").join(known, ["a", "b", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").cast(kind).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
