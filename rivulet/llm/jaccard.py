@@ -6,18 +6,20 @@ fewer words is one gram).  Two documents link when 100 * |x & y| >= 80 * |x | y|
 1. Equal sets collapse into one *class*; nothing is ever paired inside a class.
 2. All grams are put in one order, common ones last (common by a count sketch
    of fixed size over all documents), then by hash.  Linked sets share a gram
-   among their first n // 5 + 1.  Classes with the same prefix and size collapse
-   into one *group*, and only one row per group and prefix gram is shuffled.
-3. Grams that lie in the prefixes of several groups give posting lists; they
-   are expanded to the groups' classes.
+   among their first n // 5 + 1.  Classes with the same prefix and size are one
+   *group* (a hash names it), and only groups' prefix grams are shuffled.
+3. Grams in the prefixes of several groups give posting lists of those members that
+   could link with another by the size and position filters; lists are then expanded
+   to the groups' classes.
 4. Round one compares each member of a list with the list's most central class
    only, which is linear in the list, and links are contracted to components.
-   Round two compares the members that are still apart, after the size filter,
-   the position filter and a parity filter (the Hamming distance of 512-bit
-   parity vectors never exceeds the symmetric difference).  Both filters are exact,
-   so no link is lost, and no pair inside a component is made.
-5. Pairs are verified on whole sets.  Components come from minimum labels with
-   pointer jumping; all tables stay distributed.
+   Round two compares the members that are still apart.  In both rounds a parity filter
+   comes before sets are fetched: the Hamming distance of parity vectors never exceeds the symmetric
+   difference.  All filters are exact, so no link is lost, and no pair inside a
+   component is made.
+5. Pairs are verified on whole sets, which are made again for these classes only.
+   Components come from minimum labels with pointer jumping; all tables stay
+   distributed.
 
 Defined results: null and empty texts (no words) have no grams, link with
 nothing and are their own component; repeated rows share a class; a component
@@ -27,7 +29,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,34 +40,55 @@ from . import kernel as K
 from .common import materialize
 
 SHINGLE = 5
-#: |x & y| * 9 >= 4 * (|x| + |y|) is 100 * |x & y| >= 80 * |x | y|.
 SKETCH_BITS = 20
 _SKETCH_CHUNKS = 16
 FILTER_BITS = 24
-PARITY_WORDS = 8
+PARITY_WORDS = 16
+_BLOCK = 1024
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each row (of ``wanted`` only) that has words."""
+def linked(n_x, n_y, overlap):
+    """|x & y| * 9 >= 4 * (|x| + |y|), which is 100 * |x & y| >= 80 * |x | y|."""
+    return 9 * overlap >= 4 * (n_x + n_y)
+
+
+def _word_grams(buf: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray, np.ndarray]:
     buf = K.LOWER[buf]
     w = K.Words(buf, offsets, K.NON_SPACE[buf])
-    if not len(w):
-        return
     h = K.span_hashes(buf, w.start, w.stop)
-    grams = K.gram_hashes(h, SHINGLE)
-    first = w.first
-    for r in np.flatnonzero(np.diff(first)) if wanted is None else wanted:
-        low, high = int(first[r]), int(first[r + 1])
+    return w, h, K.gram_hashes(h, SHINGLE)
+
+
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of each row that has words."""
+    w, h, grams = _word_grams(buf, offsets)
+    for r in np.flatnonzero(np.diff(w.first)).tolist():
+        low, high = int(w.first[r]), int(w.first[r + 1])
         if high - low >= SHINGLE:
-            yield int(r), np.unique(grams[low : high - SHINGLE + 1])
-        elif high > low:
-            yield int(r), K.gram_hashes(h[low:high], high - low)
+            s = np.sort(grams[low : high - SHINGLE + 1])
+            new = np.ones(len(s), dtype=bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield r, s[new]
+        else:
+            yield r, K.gram_hashes(h[low:high], high - low)
 
 
 def _set_key(s: np.ndarray) -> tuple[int, int]:
-    a = np.bitwise_xor.reduce(K.mix(s)) ^ np.uint64(len(s))
-    b = np.add.reduce(K.mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-    return int(a.view(np.int64)), int(b.view(np.int64))
+    m = K.mix(s + np.uint64(0x5851F42D4C957F2D))
+    a = np.bitwise_xor.reduce(m, keepdims=True) ^ np.uint64(len(s))
+    b = np.add.reduce(m, keepdims=True) + np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93), keepdims=True)
+    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+
+
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
+    bit = ((s >> np.uint64(8)) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _wide_words(n: int) -> int:
+    """A power of two with two bits for each gram; vectors of neighbouring lengths fold onto each other."""
+    return 1 << max(0, (n // 32 - 1).bit_length())
 
 
 def _ranks(docs: DataFrame) -> np.ndarray:
@@ -76,20 +99,20 @@ def _ranks(docs: DataFrame) -> np.ndarray:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for _, _, buf, offsets in K.text_chunks(batch.column(0)):
-                sets = [s for _, s in shingle_sets(buf, offsets)]
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+                w, _, grams = _word_grams(buf, offsets)
+                whole = w.row[: len(grams)] == w.row[SHINGLE - 1 :]
+                total += np.bincount((grams[whole] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         yield from K.emit_parts(total, _SKETCH_CHUNKS)
 
     total = K.collect_sums(docs.select("text").mapInArrow(count, "chunk int, data binary"), "<i8", size, _SKETCH_CHUNKS)
-    over = total / (2 * max(total.mean(), 16.0))
+    over = total / (2 * max(total.mean(), 4.0))
     return np.where(over >= 1, 1 + np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
 
 
 def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(id, n, a, b, th, p, prefix): set size, set key, text hash, prefix key and prefix grams.
+    """(id, n, a, b, th, p, parity, wide, prefix): set size, set key, text hash, group, parity vectors, prefix grams.
 
-    Of equal sets only the first in a task carries its prefix grams.
+    Of equal sets only the first in a task carries its prefix grams and parity vectors.
     """
 
     def run(batches):
@@ -98,66 +121,194 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
             for low, high, buf, offsets in K.text_chunks(batch.column(1)):
                 n, a, b, p = (np.zeros(high - low, np.int64) for _ in range(4))
                 prefix: list = [None] * (high - low)
+                parity: list = [None] * (high - low)
+                wide: list = [None] * (high - low)
                 for r, s in shingle_sets(buf, offsets):
+                    key = _set_key(s)
+                    n[r], (a[r], b[r]) = len(s), key
                     rank = ranks[s >> np.uint64(64 - SKETCH_BITS)]
                     size = len(s) // 5 + 1
-                    if rank.any():
-                        s = s[np.argsort(rank, kind="stable")]
-                    first = s[:size]
-                    n[r], (a[r], b[r]) = len(s), _set_key(s)
-                    p[r] = K.gram_hashes(first, size)[0].view(np.int64)
-                    if (a[r], b[r]) not in seen:
-                        seen.add((a[r], b[r]))
+                    first = s[np.argsort(rank, kind="stable")[:size]] if rank.any() else s[:size]
+                    p[r] = (np.add.reduce(K.mix(first), keepdims=True) * np.uint64(3) + np.uint64(len(s))).view(np.int64)[0]
+                    if key not in seen:
+                        seen.add(key)
                         prefix[r] = first.tobytes()
+                        parity[r] = _parity(s, PARITY_WORDS)
+                        wide[r] = _parity(s, _wide_words(len(s))).tobytes()
                 rows = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(n), pa.array(a), pa.array(b), batch.column(2).slice(low, rows), pa.array(p), pa.array(prefix, pa.binary())], ["id", "n", "a", "b", "th", "p", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, rows), pa.array(n), pa.array(a), pa.array(b), batch.column(2).slice(low, rows), pa.array(p), pa.array(parity, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())], ["id", "n", "a", "b", "th", "p", "parity", "wide", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", "th").mapInArrow(run, f"id {kind}, n bigint, a bigint, b bigint, th bigint, p bigint, prefix binary")
+    return docs.select("id", "text", "th").mapInArrow(run, f"id {kind}, n bigint, a bigint, b bigint, th bigint, p bigint, parity array<bigint>, wide binary, prefix binary")
+
 
+def _whole_lists(function: Callable[[pa.Table], Iterator[pa.RecordBatch]], keys: int) -> Callable:
+    """A mapInArrow function over batches sorted by their first ``keys`` columns: calls function with tables that end where a list ends."""
 
-def _postings(groups: DataFrame) -> DataFrame:
-    """(gram, gid, n, pos) of (gid, n, prefix), for grams in the prefixes of two groups or more."""
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+                yield from function(pa.Table.from_batches(held))
+                held = []
+            if len(change):
+                yield from function(pa.Table.from_batches([*held, batch.slice(0, change[-1])]))
+                held = [batch.slice(change[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield from function(pa.Table.from_batches(held))
+
+    return run
+
+
+def _by_list(function: Callable[[dict], dict | None], keys: int) -> Callable:
+    """As _whole_lists(), with a call for each list of two rows or more."""
+    return _whole_lists(lambda rows: _called(function, rows, keys), keys)
+
+
+def _called(function: Callable, rows: pa.Table, keys: int) -> Iterator[pa.RecordBatch]:
+    names = rows.schema.names
+    columns = {}
+    for name in names:
+        column = rows.column(name).combine_chunks()
+        if pa.types.is_list(column.type):
+            columns[name] = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        else:
+            columns[name] = column.to_numpy(zero_copy_only=False)
+    key = [columns[name] for name in names[:keys]]
+    cuts = np.concatenate([[0], np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1, [rows.num_rows]])
+    out: list[dict] = []
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if high - low > 1:
+            found = function({name: c[low:high] for name, c in columns.items()})
+            if found is not None:
+                out.append(found)
+    if out:
+        yield pa.RecordBatch.from_pydict({name: np.concatenate([o[name] for o in out]) for name in out[0]})
+
+
+def _could_link(n_x, pos_x, n_y, pos_y):
+    """The position filter at the first common gram; it holds the size filter as well."""
+    return 9 * np.minimum(n_x - pos_x, n_y - pos_y) >= 4 * (n_x + n_y)
+
+
+def _partnered(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Members of a list that pass the position filter with some other member, in n log n.
+
+    x and y pass if n_y <= reach_x and n_x <= reach_y, reach being 9/4 * (n - pos) - n.
+    """
+    reach = 9 * (n - pos) - 4 * n  # four times
+    order = np.argsort(n, kind="stable")
+    best, second = np.full(len(n), -1), np.full(len(n), -1)
+    ordered = reach[order]
+    best = np.maximum.accumulate(ordered)
+    holder = np.maximum.accumulate(np.where(ordered == best, np.arange(len(n)), -1))
+    rest = ordered.copy()
+    # the best of the others: where the best is the member itself, take the runner-up before or after it
+    lead = np.concatenate([[np.iinfo(np.int64).min], best[:-1]])
+    second = np.maximum.accumulate(np.minimum(lead, rest))
+    upto = np.searchsorted(4 * n[order], reach, "right") - 1
+    own = np.empty(len(n), dtype=np.int64)
+    own[order] = np.arange(len(n))
+    ok = upto >= 0
+    at = np.maximum(upto, 0)
+    other = np.where(holder[at] == own, second[at], best[at])
+    return ok & (other >= 4 * n)
+
+
+def _postings(base: DataFrame) -> DataFrame:
+    """(gram, p, n, pos, m) of groups' prefix grams in lists of two groups or more; m is the list's length."""
 
     def explode(batches):
         for batch in batches:
-            gid, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for low in range(0, len(gid), 512):
-                part = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)[low : low + 512]]
+            p, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for low in range(0, len(p), 256):
+                part = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)[low : low + 256]]
                 size = np.array([len(x) for x in part])
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(gid[low : low + 512], size)), pa.array(np.repeat(n[low : low + 512], size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "gid", "n", "pos"])
-
-    def shared(batches):
-        """Rows come sorted by gram; one row is held back between batches."""
-        held = None
-        again = False  # the held row's gram was seen before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            gram = batch.column(0).to_numpy()
-            same = gram[1:] == gram[:-1]
-            keep = np.zeros(len(gram), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= again and held is not None
-            again = bool(same[-1]) if len(same) else again
-            held = batch.slice(batch.num_rows - 1)
-            keep[-1] = False
-            if keep.any():
-                yield batch.filter(pa.array(keep))
-        if held is not None and again:
-            yield held
-
-    ddl = "gram bigint, gid bigint, n int, pos int"
-    rows = groups.select("gid", "n", "prefix").mapInArrow(explode, ddl)
-    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(shared, ddl)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(p[low : low + 256], size)), pa.array(np.repeat(n[low : low + 256], size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "p", "n", "pos"])
+
+    def shared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {name: rows.column(name).to_numpy() for name in rows.schema.names}
+        new = np.ones(len(c["gram"]), dtype=bool)
+        new[1:] = np.any([v[1:] != v[:-1] for v in c.values()], axis=0)
+        c = {k: v[new] for k, v in c.items()}
+        n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(c["gram"][1:] != c["gram"][:-1]) + 1, [len(n)]])
+        size, keep = np.diff(cuts), np.zeros(len(n), dtype=bool)
+        two = cuts[:-1][size == 2]
+        keep[two] = keep[two + 1] = _could_link(n[two], pos[two], n[two + 1], pos[two + 1])
+        for k in np.flatnonzero(size > 2).tolist():
+            at = slice(cuts[k], cuts[k + 1])
+            keep[at] = _partnered(n[at], pos[at])
+        kept = np.repeat(np.add.reduceat(keep, cuts[:-1], dtype=np.int32), size)
+        if keep.any():
+            yield pa.RecordBatch.from_pydict({k: v[keep] for k, v in c.items()} | {"m": kept[keep]})
+
+    rows = base.where("prefix is not null").select("p", "n", "prefix").mapInArrow(explode, "gram bigint, p bigint, n int, pos int")
+    return rows.repartition("gram").sortWithinPartitions("gram", "p", "n", "pos").mapInArrow(_whole_lists(shared, 1), "gram bigint, p bigint, n int, pos int, m int")
+
+
+def _centred(lists: DataFrame, weight: DataFrame) -> DataFrame:
+    """``lists`` with ``centre``, the class of the highest weight of each list."""
+
+    def run(rows: dict) -> dict:
+        centre = rows["cid"][np.lexsort((rows["cid"], -rows["weight"]))[0]]
+        return {k: rows[k] for k in ("gram", "own", "cid", "n", "pos")} | {"centre": np.full(len(rows["cid"]), centre)}
+
+    weighed = lists.join(weight, "cid").select("gram", "own", "cid", "n", "pos", "weight")
+    return weighed.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(run, 2), "gram bigint, own int, cid bigint, n int, pos int, centre bigint")
+
+
+def _apart(centred: DataFrame, labels: DataFrame, parity: DataFrame) -> DataFrame:
+    """(x, y): pairs of a list in different components that pass the position and parity filters; centres were compared before."""
+
+    def pairs_of(rows: dict, with_parity: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, pos, label = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["label"]
+        for i in range(0, len(n), _BLOCK):
+            for j in range(i, len(n), _BLOCK):
+                x, y = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
+                good = (label[x, None] != label[None, y]) & _could_link(n[x, None], pos[x, None], n[None, y], pos[None, y])
+                if i == j:
+                    good = np.triu(good, 1)
+                a, b = np.nonzero(good)
+                if with_parity and len(a):
+                    far = np.zeros(len(a), dtype=np.int64)
+                    for k in range(PARITY_WORDS):
+                        far += np.bitwise_count((rows["parity"][x, k][a] ^ rows["parity"][y, k][b]).view(np.uint64)).astype(np.int64)
+                    near = 9 * far <= n[x][a] + n[y][b]
+                    a, b = a[near], b[near]
+                yield a + i, b + j
+
+    def partnered(rows: dict) -> dict | None:
+        if (rows["label"] == rows["label"][0]).all():
+            return None
+        keep = np.zeros(len(rows["cid"]), dtype=bool)
+        for a, b in pairs_of(rows, False):
+            keep[a] = keep[b] = True
+        return {k: v[keep] for k, v in rows.items()} if keep.any() else None
+
+    def pairs(rows: dict) -> dict | None:
+        found = [(rows["cid"][a], rows["cid"][b]) for a, b in pairs_of(rows, True) if len(a)]
+        if not found:
+            return None
+        x, y = (np.concatenate(c) for c in zip(*found))
+        return {"x": np.minimum(x, y), "y": np.maximum(x, y)}
+
+    ddl = "gram bigint, own int, cid bigint, n int, pos int, label bigint"
+    rest = centred.where("cid <> centre").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("gram", "own", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
+    rest = rest.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(partnered, 2), ddl)
+    rest = rest.join(parity, "cid").select("gram", "own", "cid", "n", "pos", "label", "parity")
+    return rest.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(pairs, 2), "x bigint, y bigint").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, n, grams, parity) of the classes ``wanted`` (cid, a, b, th).
+    """(cid, n, grams) of the classes ``wanted`` (cid, a, b, th).
 
     Texts are read again; a bit map of fixed size over the text hashes wanted
     passes nearly only these, and the join by set key makes it exact.
@@ -171,44 +322,56 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         seen: set = set()  # a text that is copied gives its set once a task
         for batch in batches:
-            bit = batch.column(1).to_numpy() & mask
-            passed = np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
             th = batch.column(1).to_numpy()
-            passed = np.array([i for i in passed if th[i] not in seen and not seen.add(th[i])], dtype=np.int64)
-            if not len(passed):
-                continue
-            out: tuple = ([], [], [], [])
-            for low, high, buf, offsets in K.text_chunks(batch.column(0).take(pa.array(passed))):
-                for _, s in shingle_sets(buf, offsets):
-                    a, b = _set_key(s)
-                    bit = (s >> np.uint64(8)) & np.uint64(64 * PARITY_WORDS - 1)
-                    odd = (np.bincount(bit.astype(np.int64), minlength=64 * PARITY_WORDS) & 1).astype(np.uint8)
-                    for o, v in zip(out, (a, b, s.view(np.int64), np.packbits(odd).view(np.int64))):
-                        o.append(v)
-                if sum(map(len, out[2])) > 1 << 18:
-                    yield _set_batch(out)
-                    out = ([], [], [], [])
-            if out[0]:
-                yield _set_batch(out)
-
-    found = docs.select("text", "th").mapInArrow(run, "a bigint, b bigint, grams array<bigint>, parity array<bigint>")
-    return found.join(wanted.select("cid", "a", "b"), ["a", "b"]).dropDuplicates(["cid"]).select("cid", F.size("grams").alias("n"), "grams", "parity")
-
-
-def _set_batch(out: tuple) -> pa.RecordBatch:
-    arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())]
-    for values in out[2:]:
-        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values))))
-    return pa.RecordBatch.from_arrays(arrays, ["a", "b", "grams", "parity"])
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked among (x, y)."""
+            bit = th & mask
+            passed = np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).tolist()
+            passed = [i for i in passed if th[i] not in seen and not seen.add(th[i])]
+            for at in range(0, len(passed), 256):
+                a, b, grams = [], [], []
+                for _, _, buf, offsets in K.text_chunks(batch.column(0).take(pa.array(passed[at : at + 256]))):
+                    for _, s in shingle_sets(buf, offsets):
+                        key = _set_key(s)
+                        a.append(key[0])
+                        b.append(key[1])
+                        grams.append(s.view(np.int64))
+                if a:
+                    offsets = np.concatenate([[0], np.cumsum([len(v) for v in grams])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(grams)))], ["a", "b", "grams"])
+
+    found = docs.select("text", "th").mapInArrow(run, "a bigint, b bigint, grams array<bigint>")
+    return found.join(wanted.select("cid", "a", "b"), ["a", "b"]).dropDuplicates(["a", "b"]).select("cid", F.size("grams").alias("n"), "grams")
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y) of ``pairs`` that the wide parity vectors pass."""
+
+    def run(batches):
+        for batch in batches:
+            nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, (wx, wy) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(wx.as_buffer(), np.uint64), np.frombuffer(wy.as_buffer(), np.uint64)
+                size = min(len(x), len(y))
+                far = np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))).sum(dtype=np.int64)
+                keep[i] = 9 * far <= nx[i] + ny[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(keep))
+
+    one = classes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("wide").alias("wx"))
+    two = classes.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("wide").alias("wy"))
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "wx", "wy").mapInArrow(run, "x bigint, y bigint")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The linked among (x, y), on whole sets."""
+    pairs = materialize(_near(pairs, classes))
+    if pairs.isEmpty():
+        return pairs
+    in_pairs = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
+    sets = materialize(_sets(docs, classes.select("cid", "a", "b", "th").join(in_pairs, "cid")))
     one = sets.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("grams").alias("gx"))
     two = sets.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("grams").alias("gy"))
-    near = (9 * F.least("nx", "ny") >= 4 * (F.col("nx") + F.col("ny"))) & (9 * F.size(F.array_intersect("gx", "gy")) >= 4 * (F.col("nx") + F.col("ny")))
-    return pairs.join(one, "x").join(two, "y").where(near).select("x", "y")
+    both = pairs.join(one, "x").join(two, "y")
+    return materialize(both.where(linked(F.col("nx"), F.col("ny"), F.size(F.array_intersect("gx", "gy")))).select("x", "y"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -232,48 +395,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     base = materialize(_prefixes(docs, _ranks(docs)))
     # classes: equal sets
-    classes = base.where("n > 0").groupBy("a", "b", "n").agg(F.min("th").alias("th"), F.min("p").alias("p"), F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = base.where("n > 0").groupBy("a", "b", "n").agg(F.min("th").alias("th"), F.min("p").alias("p"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("parity").alias("parity"), F.max("wide").alias("wide"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
-    # groups: equal prefixes and sizes
-    groups = classes.groupBy("p", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
-    members = classes.join(groups, ["p", "n"]).select("cid", "a", "b", "th", "copies", "gid", "n", "members")
-    members = materialize(members)
-    heads = members.where("cid = gid").select("gid", "a", "b", "n")
-    carriers = base.where("prefix is not null").join(heads, ["a", "b", "n"]).select("gid", "n", "prefix", "th")
-    once = carriers.groupBy("gid", "n").agg(F.min("prefix").alias("prefix"))
-    lists = materialize(_postings(once))
-    inner = members.where("members > 1").select(F.col("gid").alias("gram"), "cid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), F.lit(True).alias("own"))
-    outer = lists.join(members.select("gid", "cid"), "gid").select("gram", "cid", "n", "pos", F.lit(False).alias("own"))
+    # lists: classes that share a prefix gram, or a whole prefix
+    outer = _postings(base).join(classes.select("p", "n", "cid"), ["p", "n"]).select("gram", F.lit(0).alias("own"), "cid", F.col("n").cast("int").alias("n"), "pos", "m")
+    groups = classes.groupBy("p", "n").agg(F.count("*").cast("int").alias("m")).where("m > 1")
+    inner = classes.join(groups, ["p", "n"]).select(F.col("p").alias("gram"), F.lit(1).alias("own"), "cid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), "m")
     lists = materialize(outer.union(inner))
-    wanted = members.join(lists.select("cid").distinct(), "cid", "left_semi")
-    sets = materialize(_sets(docs, wanted.select("cid", "a", "b", "th")))
 
     # round one: the most central class of each list
-    size = lists.groupBy("gram", "own").agg(F.count("*").alias("m"))
-    weight = lists.join(size, ["gram", "own"]).groupBy("cid").agg(F.sum("m").alias("weight")).join(members.select("cid", "copies"), "cid").select("cid", (F.col("weight") * 8 + F.least(F.col("copies"), F.lit(7))).alias("weight"))
-    centre = lists.join(weight, "cid").groupBy("gram", "own").agg(F.max_by("cid", "weight").alias("centre"))
-    centred = lists.join(centre, ["gram", "own"])
+    weight = lists.groupBy("cid").agg(F.sum("m").alias("weight")).join(classes.select("cid", "copies"), "cid").select("cid", (F.col("weight") * 8 + F.least(F.col("copies"), F.lit(7))).alias("weight"))
+    centred = materialize(_centred(lists, weight))
     stars = centred.where("cid <> centre").select(F.least("cid", "centre").alias("x"), F.greatest("cid", "centre").alias("y")).distinct()
-    links = materialize(_verified(stars, sets))
+    one = classes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
+    two = classes.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
+    far = sum((F.bit_count(F.col("px")[i].bitwiseXOR(F.col("py")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    size = F.col("nx") + F.col("ny")
+    near = (9 * F.least("nx", "ny") >= 4 * size) & (9 * far <= size)
+    links = _verified(stars.join(one, "x").join(two, "y").where(near).select("x", "y"), docs, classes)
     labels = components(links)
 
-    # round two: members still apart, without those already compared
-    marked = centred.join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("gram", "own", "cid", "n", "pos", "centre", F.coalesce("label", "cid").alias("label"))
-    mixed = marked.where("cid <> centre").groupBy("gram", "own").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gram", "own")
-    rest = materialize(marked.where("cid <> centre").join(mixed, ["gram", "own"]).join(sets.select("cid", "parity"), "cid").select("gram", "own", "cid", "n", "pos", "label", "parity"))
-    left = rest.select("gram", "own", *(F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "label", "parity")))
-    right = rest.select("gram", "own", *(F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "label", "parity")))
-    both = F.col("x_n") + F.col("y_n")
-    apart = sum((F.bit_count(F.col("x_parity")[i].bitwiseXOR(F.col("y_parity")[i])) for i in range(PARITY_WORDS)), F.lit(0))
-    keys = (left["gram"] == right["gram"]) & (left["own"] == right["own"])
-    near = (F.col("x_cid") < F.col("y_cid")) & (F.col("x_label") != F.col("y_label")) & (9 * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= 4 * both) & (9 * apart <= both)
-    more = left.join(right, keys & near).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y")).distinct()
-    more = materialize(_verified(more, sets))
+    # round two: members still apart
+    more = _verified(_apart(centred, labels, classes.select("cid", "parity")), docs, classes)
     if not more.isEmpty():
-        joined = links.union(more)
-        labels = components(joined)
+        labels = components(links.union(more))
 
-    placed = members.select("cid").join(classes.select("cid", "a", "b", "n", "least"), "cid").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("a", "b", "n", "least", F.coalesce("label", "cid").alias("label"))
+    placed = classes.select("cid", "a", "b", "n", "least").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("a", "b", "n", "least", F.coalesce("label", "cid").alias("label"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     known = placed.join(least, "label").select("a", "b", "n", "component_id")
     out = base.select("id", "a", "b", "n").join(known, ["a", "b", "n"], "left")
