@@ -115,3 +115,14 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     row = F.struct(*df.columns)
     columns = [F.col(o) if isinstance(o, str) else o for o in order]
     return df.groupBy(*keys).agg(F.min_by(row, F.struct(*columns)).alias("_row")).select("_row.*")
+
+
+def tool_loops(calls: DataFrame, tool: str, arguments: str, order: Order, by: Sequence[str], most: int = 3) -> DataFrame:
+    """Calls with ``repeated`` (the same tool and arguments came before) and ``stuck`` (``most`` calls of one tool in a row)."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    repeated = F.row_number().over(Window.partitionBy(*by, tool, arguments).orderBy(*order)) > 1
+    same = [F.coalesce(F.lag(tool, back).over(w) == F.col(tool), F.lit(False)) for back in range(1, most)]
+    stuck = F.lit(True)
+    for s in same:
+        stuck = stuck & s
+    return calls.withColumn("repeated", repeated).withColumn("stuck", stuck)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import markdown, text
 from ..operators import errors, flow, order, retrieval, running, stats, windows
 from ..operators.flow import Flow
-from ..sources import corpus
+from ..sources import corpus, sinks
 from ..streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,3 +719,26 @@ def stream_state(spark, d):
 def stream_batches(spark, d):
     out = streams.count_buffers(_stream(spark, d), "user_id", 8, "event_id")
     return streams.to_memory(out, _sink("batches")).groupBy("user_id").agg(F.count("*").alias("batches"))
+
+
+# -- logs and outputs ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) > 1 AS repeated,
+coalesce(lag(event_type, 1) OVER w = event_type, false) AND coalesce(lag(event_type, 2) OVER w = event_type, false) AS stuck FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def tool_loop_detection(spark, d):
+    calls = _t(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    return running.tool_loops(calls, "event_type", "props", ["event_id"], ["user_id"]).select("event_id", "repeated", "stuck")
+
+
+@query("""SELECT vec_id, len(embedding) AS dims, 0::BIGINT AS n_tags, (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM embeddings) AS total_chunks FROM embeddings""")
+def embedded_output(spark, d):
+    chunks = _t(spark, d, "embeddings").withColumn("tags", F.lit(None).cast("array<string>"))
+    out = sinks.embedded_output(chunks, _t(spark, d, "documents").select("doc_id"))
+    return out.select("vec_id", F.size("vector").cast("long").alias("dims"), F.size("tags").cast("long").alias("n_tags"), "total_files", "total_chunks")
+
+
+@query("""SELECT count(*) AS items, count(*) FILTER (json_extract_string(j, '$.event_type') = 'click') AS clicks FROM (SELECT to_json({event_id: event_id, event_type: event_type}) AS j FROM events)""")
+def json_output(spark, d):
+    rows = sinks.json_rows(_t(spark, d, "events").select("event_id", "event_type"))
+    return rows.agg(F.count("*").alias("items"), F.count_if(F.get_json_object("json", "$.event_type") == "click").alias("clicks"))

@@ -157,3 +157,24 @@ def test_advice():
     assert flow.advise("ReadFiles") == {"category": "io_bound", "recommended": True, "strength": 0.95, "approach": "to_streaming"}
     assert flow.advise("sortRows")["recommended"] is False
     assert flow.advise("double")["category"] == "pure_transform"
+
+
+def test_outputs_and_logs(spark, numbers, tmp_path):
+    import json
+    import logging
+
+    from rivulet.functions import logs
+    from rivulet.sources import sinks
+
+    df = numbers(1, 2)
+    assert sinks.checked(df, df.schema) is df
+    with pytest.raises(TypeError, match="w int"):
+        sinks.checked(df, T.StructType([T.StructField("w", T.IntegerType())]))
+    assert [json.loads(r["json"])["v"] for r in sinks.json_rows(df).orderBy("json").collect()] == [1, 2]
+    sinks.write_table(df, str(tmp_path / "t"), ["v"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    record = logging.LogRecord("c", logging.INFO, "", 0, "seen", (), None)
+    record.data = {"embedding": [0.5] * 384, "n": 1}
+    line = json.loads(logs.JsonFormatter().format(record))
+    assert line["event"] == "seen" and line["embedding"].startswith("[Embedding: dim=384") and line["n"] == 1
+    assert logs.CompactFormatter().format(record).startswith("I c: seen")
