@@ -29,9 +29,16 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     return spark
 
 
+#: Bytes of an Arrow batch, unless the session sets its own: long texts make whole batches large.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for those that don't have it installed."""
+    """Sends this package to the executors once a session, for those that don't have it installed, and bounds Arrow batches."""
     sc = spark.sparkContext
+    name, default, ours = ARROW_BYTES
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, ours)
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent

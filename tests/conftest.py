@@ -14,7 +14,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), os.e
 def spark(tmp_path_factory):
     from rivulet.session import local_session
 
-    session = local_session("8", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+    session = local_session("4", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
