@@ -3,29 +3,66 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of at most about 50 bytes that a join may broadcast (15 MB).
+BROADCAST_ROWS = 300_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` is read from the session; only where nothing is
     set (tests, a laptop) a temporary folder is used.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{sc.applicationId}"
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder: it survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet file in the shared folder, for tables that a loop makes again and again.
+
+    Other than a checkpoint, a file has its real size: size estimates and
+    constraints don't pile up from round to round.  Files go when the driver ends, or by discard().
+    """
+    spark = df.sparkSession
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    fs, path = _path(spark, name)
+    fs.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(name)
+    out._written_to = name
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what written() wrote, when no plan reads it any more."""
+    fs, path = _path(df.sparkSession, df._written_to)
+    fs.delete(path, True)
+
+
 def fresh(names: Iterable[str], wanted: str) -> str:
     """A column name that is not yet taken (case-insensitively)."""
     taken = {n.lower() for n in names}
@@ -37,3 +74,9 @@ def fresh(names: Iterable[str], wanted: str) -> str:
 def remainder(id_col: Column | str, mod: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string")), F.lit(mod)), F.lit(0)).cast("int")
+
+
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, fixed, and marked for broadcast if it has at most ``rows`` rows; beyond that joins shuffle."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= rows else df

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import materialize
+from .common import counted, materialize
 
 SPAN = 13
 GRAM = 8
@@ -179,6 +179,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     the same or a null id stays.
     """
     keyed = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    bad = contamination(keyed.select(F.struct("id", "h").alias("key"), "text"), items, "key", "text").where("contaminated").select(F.col("key.id").alias("_bad_id"), F.col("key.h").alias("_bad_h")).distinct()
+    bad = counted(contamination(keyed.select(F.struct("id", "h").alias("key"), "text"), items, "key", "text").where("contaminated").select(F.col("key.id").alias("_bad_id"), F.col("key.h").alias("_bad_h")).distinct())
     here = (F.coalesce(docs[id_col].cast("string"), F.lit("null")) == bad["_bad_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_bad_h"])
     return docs.join(bad, here, "left_anti")

@@ -18,7 +18,7 @@ fewer words is one gram).  Two documents link when 100 * |x & y| >= 80 * |x | y|
    difference.  All filters are exact, so no link is lost, and no pair inside a
    component is made.
 5. Pairs are verified on whole sets, which are made again for these classes only.
-   Components come from minimum labels with pointer jumping; all tables stay
+   Components come from hooking and halving trees of parents; all tables stay
    distributed.
 
 Defined results: null and empty texts (no words) have no grams, link with
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import materialize
+from .common import counted, discard, materialize, written
 
 SHINGLE = 5
 SKETCH_BITS = 20
@@ -98,7 +98,7 @@ def _ranks(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for _, _, buf, offsets in K.text_chunks(batch.column(0)):
+            for _, _, buf, offsets in K.text_chunks(batch.column(0), 1 << 20):
                 w, _, grams = _word_grams(buf, offsets)
                 whole = w.row[: len(grams)] == w.row[SHINGLE - 1 :]
                 total += np.bincount((grams[whole] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
@@ -375,18 +375,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(v, label): the least vertex reachable, for the vertices of the links (x, y)."""
-    edges = materialize(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
-    labels = materialize(edges.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.min("x")).alias("label")))
+    """(v, label): the least vertex reachable, for the vertices of the links (x, y).
+
+    Trees of parents are hooked onto the least grandparent beside them, at
+    vertices and at their parents, and halved in depth each round, so rounds
+    grow with the logarithm of a component's diameter.
+    """
+    edges = written(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
+    state = written(edges.select(F.col("x").alias("v")).distinct().select("v", F.col("v").alias("up"), F.col("v").alias("top"), F.lit(True).alias("new")))
     while True:
-        near = edges.join(labels, edges["y"] == labels["v"]).groupBy("x").agg(F.min("label").alias("least"))
-        step = labels.join(near, labels["v"] == near["x"], "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label"))
-        jump = labels.select(F.col("v").alias("u"), F.col("label").alias("beyond"))
-        step = step.join(jump, step["label"] == jump["u"], "left").select("v", "old", F.least("label", F.coalesce("beyond", "label")).alias("label"))
-        step = materialize(step)
-        labels = step.select("v", "label")
-        if step.where("old <> label").isEmpty():
-            return labels
+        beside = edges.join(state.select(F.col("v").alias("y"), "top"), "y").groupBy(F.col("x").alias("v")).agg(F.min("top").alias("beside"))
+        seen = state.join(beside, "v")
+        hook = seen.groupBy(F.col("up").alias("v")).agg(F.min("beside").alias("hook"))
+        parents = seen.join(hook, "v", "left").select("v", "top", F.least("up", "top", "beside", F.coalesce("hook", "beside")).alias("next"))
+        above = parents.select(F.col("v").alias("next"), F.col("next").alias("after"))
+        last, state = state, written(parents.join(above, "next").select("v", F.col("next").alias("up"), F.col("after").alias("top"), ((F.col("after") != F.col("top")) | (F.col("next") != F.col("top"))).alias("new")))
+        discard(last)
+        if state.where("new").isEmpty():
+            discard(edges)
+            return state.select("v", F.col("top").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,8 +443,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     names = docs.columns
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    found = jaccard_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text")
-    drop = found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("_drop_id"), F.col("key.h").alias("_drop_h")).distinct()
+    found = materialize(jaccard_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text"))
+    drop = counted(found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("_drop_id"), F.col("key.h").alias("_drop_h")).distinct())
     here = docs[id_col].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs[text_col].cast("string")) == drop["_drop_h"])
     kept = docs.join(drop, here, "left_anti")
     again = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1 and key is not null").select(F.col("key.id").alias("_again_id"), F.col("key.h").alias("_again_h"))

@@ -3,7 +3,7 @@
 Everything here works on whole Arrow string columns at once: the UTF-8 bytes of
 many documents lie in one buffer, words are found by comparing neighbouring
 bytes, and hashes come from prefix sums modulo 2**64.  Work is cut into chunks
-of about a megabyte of text (never inside a document), which bounds memory
+of about half a megabyte of text (never inside a document), which bounds memory
 whatever the batch size is.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))

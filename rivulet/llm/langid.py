@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import learn
 
-PER_LANGUAGE = 1000
-MAX_ROWS = 6000
+PER_LANGUAGE = 500
+MAX_ROWS = 3000
 HALF = 2048
 DIMS = 2 * HALF
 _ROWS = 256
@@ -144,7 +144,9 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     if not got:
         return None
     y = np.array([g[0] for g in got], dtype=object)
-    x = np.stack([np.frombuffer(g[1], np.float16) for g in got]).astype(np.float32)
+    x = np.empty((len(got), DIMS), np.float32)
+    for i in range(len(got)):
+        x[i], got[i] = np.frombuffer(got[i][1], np.float16), None
     return _machines(x, y)
 
 

@@ -73,15 +73,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, steps: int = 150) -
     """
     s = np.where(y > 0, 1.0, -1.0).astype(np.float32)
     balance = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1)).astype(np.float32) * cost * len(y)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    step = 1.0 / (1.0 + 2 * float((balance * (x * x).sum(axis=1)).sum()) / 4)
-    w = v = np.zeros(x.shape[1], np.float32)
+    step = 1.0 / (1.0 + 2 * float((balance * ((x * x).sum(axis=1) + 1)).sum()) / 4)
+    w = v = np.zeros(x.shape[1] + 1, np.float32)  # the last is the bias
     for t in range(steps):
-        slack = np.maximum(0, 1 - s * (x @ v))
-        new = v - step * (v - 2 * x.T @ (balance * s * slack))
-        v = new + (t / (t + 3)) * (new - w)
+        pull = balance * s * np.maximum(0, 1 - s * (x @ v[:-1] + v[-1]))
+        new = v - step * (v - 2 * np.append(pull @ x, pull.sum()))
+        v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
-    margins = s * (x @ w)
+    margins = s * (x @ w[:-1] + w[-1])
     grid = np.exp(np.linspace(np.log(0.5), np.log(20), 80))
     slope = grid[int(np.argmin([(np.logaddexp(0, -g * margins) * balance).mean() + 1e-3 * g for g in grid]))]
     return w[:-1], float(w[-1]), float(slope)

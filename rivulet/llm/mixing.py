@@ -10,7 +10,8 @@ source is spread like any other.  A target over the source's size repeats
 whole epochs first.
 
 The cut is a key per source, so that the mix itself is a map over the
-documents joined with one small row per source; texts are never shuffled.
+documents joined with one small row per source.  That table is broadcast if it is counted
+to be small; texts are shuffled by source only beyond that (and AQE splits hot sources).
 
 The target of a source is its share of all sizes by weight, at most ``cap``
 times its size; what that leaves is shared again by weight until no target is
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import counted, materialize
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
@@ -74,7 +75,7 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs).withColumn("budget", F.when(F.col("source_size") > 0, F.floor("target") - F.col("epochs") * F.col("source_size")).otherwise(0).cast("long"))
     bits = F.least(F.greatest(F.ceil(F.log2(F.col("n") / F.lit(float(BUCKET_ROWS)))), F.lit(0)), F.lit(40)).cast("int")
-    rows = materialize(rows.withColumn("width", F.pow(F.lit(2.0), F.lit(KEY_BITS) - bits).cast("long")))
+    rows = counted(rows.withColumn("width", F.pow(F.lit(2.0), F.lit(KEY_BITS) - bits).cast("long")))
     by_source = rows.select(F.col("source").alias("of"), "width", "budget").where("budget > 0")
     keyed = slim.join(by_source, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.floor(F.col("key") / F.col("width"))).drop("of")
     by_bucket = keyed.groupBy("source", "bucket", "budget", "width").agg(F.sum("size").alias("words"))
@@ -106,7 +107,7 @@ def _taken(key: Column, ident: Column, size: Column, cut: bool) -> tuple[Column,
 
 
 def _planned(docs: DataFrame, slim: DataFrame, source: Column, weights: tuple[float, ...], cap: float) -> DataFrame:
-    sources = plan(slim, weights, cap)
+    sources = counted(plan(slim, weights, cap))
     return docs.join(sources.select(*(F.col(c).alias(f"plan_{c}") for c in sources.columns)), source.eqNullSafe(F.col("plan_source")))
 
 

@@ -72,7 +72,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(ROWS * DIMS)
         for batch in batches:
-            for _, _, buf, offsets in K.text_chunks(batch.column(0)):
+            for _, _, buf, offsets in K.text_chunks(batch.column(0), 1 << 20):
                 word, row = tokens(buf, offsets)
                 for far in range(1, NEIGHBOURS + 1):
                     near = row[far:] == row[:-far]
