@@ -207,12 +207,11 @@ def rrf(branches: Sequence[DataFrame], k: int, constant: int = RRF_CONSTANT, dig
 def dbsf(branches: Sequence[DataFrame], k: int, digits: int = 9) -> DataFrame:
     """Distribution-based fusion: scores scaled so that mean -/+ 3 deviations become 0 and 1, clipped, and summed."""
     union = None
-    for i, b in enumerate(branches):
+    for b in branches:
         w = Window.partitionBy("query_id")
         low, width = F.avg("score").over(w) - 3 * F.stddev_pop("score").over(w), 6 * F.stddev_pop("score").over(w)
         part = b.select("query_id", "id", F.when(width > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") - low) / width))).otherwise(0.5).alias("part"))
         union = part if union is None else union.unionByName(part)
-        del i
     fused = union.groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score"))
     return ranked(fused, k, ["query_id"])
 
@@ -370,12 +369,10 @@ def embed(df: DataFrame, text: str, dims: int = 64, name: str = "vector") -> Dat
     return df.mapInArrow(run, f"{fields}, `{name}` array<double>")
 
 
-def embed_batches(df: DataFrame, text: str, index: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 50, name: str = "vector") -> DataFrame:
+def embed_batches(df: DataFrame, text: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 50, name: str = "vector") -> DataFrame:
     """Calls ``embedder`` with up to ``size`` texts at a time; a batch that fails or gives another number of vectors is dropped."""
     import pyarrow as pa
 
-    del index
-
     def run(batches):
         for rows in batches:
             for low in range(0, rows.num_rows, size):

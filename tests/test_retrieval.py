@@ -77,7 +77,7 @@ def test_embedding(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "")], "id int, t string")
     got = R.embed(df, "t", 8).orderBy("id").collect()
     assert abs(sum(x * x for x in got[0]["vector"]) - 1) < 1e-9 and set(got[1]["vector"]) == {0.0}
-    lost = R.embed_batches(df, "t", "id", lambda texts: [[1.0]] * (len(texts) + 1))
+    lost = R.embed_batches(df, "t", lambda texts: [[1.0]] * (len(texts) + 1))
     assert lost.count() == 0
 
 
