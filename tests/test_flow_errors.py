@@ -131,6 +131,21 @@ def test_statistics(numbers):
     assert stats.sketch_percentiles(df, "v").first()["p50"] == 5
 
 
+def test_nearest_ranks_against_sorting(spark):
+    import math
+    import random
+
+    draw = random.Random(9)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([1.0, 2.0, draw.random() * 100, None])) for _ in range(3000)] + [("one", 5.0), ("none", None)]
+    percents = (0, 1, 25, 50, 95, 99, 100)
+    got = {r["k"]: r for r in stats.nearest_ranks(spark.createDataFrame(rows, "k string, v double").repartition(4), "v", percents, ["k"]).collect()}
+    for k in ("a", "b", None, "one"):
+        values = sorted(v for g, v in rows if g == k and v is not None)
+        assert got[k]["n"] == len(values)
+        assert [got[k][f"p{p}"] for p in percents] == [values[max(0, math.ceil(p * len(values) / 100) - 1)] for p in percents]
+    assert "none" not in got
+
+
 def test_state(numbers):
     s = State().with_key("a", numbers(1))
     assert s.keys() == ["a"] and not s.has_snapshot("a") and s.materialize("a").count() == 1 and s.has_snapshot("a")
