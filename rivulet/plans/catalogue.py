@@ -229,7 +229,10 @@ def buffer_until_marker(spark, d):
     return rows.groupBy("user_id", "buffer").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, i, 0::BIGINT AS buffer, value AS held, value > 500 AS done FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, f.buffer + f.done::BIGINT, CASE WHEN f.done THEN e.value ELSE f.held + e.value END, (CASE WHEN f.done THEN e.value ELSE f.held + e.value END) > 500 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, buffer, count(*) AS n, max(event_id) AS last_id FROM f GROUP BY 1, 2""")
 def buffer_fold(spark, d):
     """Buffers that close when their values pass 500: the predicate sees the buffer."""
     rows = windows.buffer_fold(_t(spark, d, "events").select("event_id", "user_id", "value"), lambda held, row: sum(r["value"] for r in held) + row["value"] > 500, ["event_id"], ["user_id"])
@@ -293,7 +296,10 @@ def pattern_match(spark, d):
     return running.pattern_ends(_t(spark, d, "events").select("event_id", "user_id", "event_type"), "event_type", ["view", "click", "purchase"], ["event_id"], ["user_id"]).select("event_id")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, i, (t = 'view')::INT AS s FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN (f.s % 3 = 0 AND t = 'view') OR (f.s % 3 = 1 AND t = 'click') OR (f.s % 3 = 2 AND t = 'view') THEN f.s % 3 + 1 ELSE (t = 'view')::INT END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT event_id FROM f WHERE s = 3""")
 def pattern_automaton(spark, d):
     return running.pattern_fold(_t(spark, d, "events").select("event_id", "user_id", "event_type"), "event_type", ["view", "click", "view"], ["event_id"], ["user_id"]).select("event_id")
 
@@ -461,7 +467,7 @@ def rate_limit_replay(spark, d):
     return errors.within_rate(_t(spark, d, "events").select("event_id", "ts"), "ts", 1800, 5, ["event_id"]).select("event_id", "rate_window", "delayed_windows")
 
 
-@query()
+@query("""SELECT event_id % 50 <> 0 AS success, CASE WHEN event_id % 50 = 0 THEN 'ETIMEDOUT' END AS code, (CASE WHEN event_id % 50 = 0 THEN 3 ELSE 1 END)::INTEGER AS attempts, count(*) AS n FROM events GROUP BY ALL""")
 def retry_rows(spark, d):
     """An opaque function with retries inside the task: every row is tried up to three times."""
 
@@ -483,12 +489,20 @@ def _links(spark, d) -> DataFrame:
     return pages.select("page_id", "url", "l.target_url", "l.text", "l.is_external")
 
 
-@query()
+_LINKS_SQL = r"""a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href=["'']([^"'']*)["''][^>]*>(.*?)</a>', 2)) AS body FROM pages),
+b AS (SELECT page_id, url, trim(href) AS href, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '://([^/?#]*)', 1) AS host,
+  regexp_replace(url, '[?#].*$', '') AS bare FROM a),
+l AS (SELECT page_id, url, text, host, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN scheme || '://' || host || href
+  WHEN href LIKE '?%' OR href LIKE '#%' THEN bare || href ELSE regexp_replace(regexp_replace(bare, '(://[^/]*)$', '\1/'), '[^/]*$', '') || href END AS target_url FROM b),
+links AS (SELECT page_id, url, target_url, text, lower(regexp_extract(target_url, '://([^/?#]*)', 1)) <> lower(host) AS is_external FROM l WHERE text <> '' AND regexp_matches(target_url, '^[A-Za-z][A-Za-z0-9+.-]*:'))"""
+
+
+@query(f"WITH {_LINKS_SQL} SELECT * FROM links")
 def link_extract(spark, d):
     return _links(spark, d)
 
 
-@query()
+@query(f"WITH {_LINKS_SQL} SELECT count(DISTINCT page_id) AS pages, count(*) AS links, count(*) FILTER (is_external) AS external_links, count(*) FILTER (NOT is_external) AS internal_links, count(DISTINCT regexp_extract(target_url, '://([^/?#]*)', 1)) AS domains FROM links")
 def link_stats(spark, d):
     links = _links(spark, d)
     domain = F.regexp_extract("target_url", "://([^/?#]*)", 1)
