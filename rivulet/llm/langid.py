@@ -17,6 +17,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from . import learn
 
-PER_LANGUAGE = 500
-MAX_ROWS = 3000
+PER_LANGUAGE = 1000
+MAX_ROWS = 6000
 HALF = 2048
 DIMS = 2 * HALF
 _ROWS = 256
@@ -138,7 +139,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
         for batch in batches:
             for low, high, x, has in vectors(batch.column(1)):
                 at = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(at)), pa.array([v.astype(np.float16).tobytes() for v in x[at]], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(at)), pa.array([zlib.compress(v.astype(np.float16).tobytes(), 1) for v in x[at]], pa.binary())], ["lang", "x"])
 
     got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(run, "lang string, x binary").collect())
     if not got:
@@ -146,7 +147,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
     y = np.array([g[0] for g in got], dtype=object)
     x = np.empty((len(got), DIMS), np.float32)
     for i in range(len(got)):
-        x[i], got[i] = np.frombuffer(got[i][1], np.float16), None
+        x[i], got[i] = np.frombuffer(zlib.decompress(got[i][1]), np.float16), None
     return _machines(x, y)
 
 

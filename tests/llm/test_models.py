@@ -83,6 +83,14 @@ def test_language_does_not_depend_on_batches(spark, labelled):
     assert sorted(langid.identify(docs, a).collect()) == sorted(langid.identify(docs.coalesce(1), b).collect())
 
 
+def test_language_sample_has_the_documented_size(spark, monkeypatch):
+    docs = spark.range(4800).select(F.col("id").alias("doc_id"), F.lit("the thing was with other").alias("text"), F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("id") % 4 + 1).cast("int")).alias("lang"))
+    seen = []
+    monkeypatch.setattr(langid, "_machines", lambda x, y: seen.append(x.shape))
+    langid.train(docs, "doc_id", "text", "lang")
+    assert 3800 < seen[0][0] < 4200 and seen[0][1] == langid.DIMS  # 1,000 a language, drawn by a hash
+
+
 def test_quality(spark, labelled):
     docs, labels = labelled
     scored = quality.quality_scores(docs, docs.where(remainder("doc_id", 5) != 0), labels)
