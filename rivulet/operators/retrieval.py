@@ -42,9 +42,11 @@ def ranked(df: DataFrame, k: int, per: Sequence[str], score: str = "score", tie:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9, threshold: float | None = None) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: int = 9, threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine similarity.  vectors: id, vector, ...; queries: query_id, query_vector.
 
+    With ``k=None`` every hit of the threshold comes, unranked: (query_id, id, score).
+
     Query vectors go to all tasks in passes of at most ``QUERY_PASS`` numbers,
     so their size there is bounded whatever their count; a task multiplies
     matrices and sends each query's best k of a batch, and equal scores, on.
@@ -79,7 +81,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9,
                     at, of = [], []
                     for j in range(scores.shape[1]):
                         s = scores[:, j]
-                        least = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                        least = np.partition(s, len(s) - k)[len(s) - k] if k is not None and len(s) > k else -np.inf
                         if threshold is not None:
                             least = max(least, threshold)
                         hit = np.flatnonzero(s >= least - 10.0**-digits)
@@ -101,7 +103,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 9,
     scored = scored.withColumn("score", F.round("score", digits))
     if threshold is not None:
         scored = scored.where(F.col("score") >= threshold)
-    return ranked(scored, k, ["query_id"])
+    return scored if k is None else ranked(scored, k, ["query_id"])
 
 
 def sparse_vector(tokens: Column) -> Column:

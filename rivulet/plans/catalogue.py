@@ -598,7 +598,7 @@ def dense_topk(spark, d):
 @query(f"WITH {_COS_SQL} SELECT query_id, count(*) AS n FROM cos WHERE score >= 0.2 GROUP BY 1")
 def score_threshold(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.dense_topk(v, q, 10**6, threshold=0.2).groupBy("query_id").agg(F.count("*").alias("n"))
+    return retrieval.dense_topk(v, q, None, threshold=0.2).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 def _modified(ident):

@@ -67,6 +67,17 @@ def test_search_branches(spark):
         R.fuse([dense], 1, "other")
 
 
+def test_threshold_search_has_no_limit(spark, monkeypatch):
+    from rivulet.plans import catalogue
+
+    v = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(6)], "id int, vector array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query_vector array<double>")
+    assert sorted(r["id"] for r in R.dense_topk(v, q, None, threshold=0.2).collect()) == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(R, "ranked", lambda *a: pytest.fail("ranked"))
+    monkeypatch.setattr(catalogue, "_vectors", lambda *a: (v, q))
+    assert catalogue.queries()["score_threshold"](spark, "").first()["n"] == 5
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(0, 1, 0.9, "red fox", "blue fox"), (0, 2, 0.1, "red fox", "a red fox")], "query_id int, id int, score double, q string, d string")
     got = R.rerank(hits, F.col("q"), F.col("d"), 2).orderBy("rank").collect()
