@@ -2,11 +2,14 @@ import re
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from conftest_llm import lower
 from test_decontaminate import brute as contaminated
 from test_jaccard import brute as linked
 
+from rivulet.llm import langid
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -46,6 +49,17 @@ def test_stages_against_brute_force(spark, corpus, tmp_path):
         left = {i: before[i] for i in set(got)}
 
 
+def test_language_stage_drops_only_what_op5_calls_und(spark, monkeypatch):
+    """Five families with equal margins: every score is 0.2, but every text with letters has a language."""
+    names = [f"x{k}" for k in range(5)]
+    model = {"families": names, "outer": [(np.zeros(langid.DIMS), 0.0, 1.0)] * 5, "inner": {v: ([v], {}) for v in names}}
+    monkeypatch.setattr(langid, "train", lambda *a, **k: model)
+    docs = spark.createDataFrame(list(enumerate(["the thing", "слово", None, "12 34", "qzx"])), "doc_id long, text string")
+    named = langid.identify(docs, model).where("lang_pred <> 'und'").collect()
+    assert [round(r["score"], 6) for r in named] == [0.2] * 3
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == sorted(r["doc_id"] for r in named)
+
+
 def test_run_over_a_small_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "text", "shard"} <= set(out.columns)
