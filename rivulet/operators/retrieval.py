@@ -266,9 +266,13 @@ def zip_by_rank(hits: DataFrame, ranks: DataFrame) -> DataFrame:
 def overlap_length(a: Column, b: Column, least: int = MIN_OVERLAP, most: int = MAX_OVERLAP) -> Column:
     """Length of the longest end of a that begins b, from ``least`` to ``most``; 0 if there is none."""
     longest = F.least(F.length(a), F.length(b), F.lit(most))
-    sizes = F.when(longest >= least, F.sequence(longest, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda k: F.right(a, k) == F.left(b, k))
-    return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    # an end that begins b starts where b's first letters are found; the first such place has the longest end
+    place = F.call_function("locate", F.left(b, F.lit(least)), F.right(a, longest))
+    first = longest - place + 1
+    sizes = F.when(first > least, F.sequence(first - 1, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    shorter = F.get(F.filter(sizes, lambda k: F.right(a, k) == F.left(b, k)), F.lit(0))
+    found = F.when((longest < least) | (place == 0), 0).when(F.right(a, first) == F.left(b, first), first).otherwise(shorter)
+    return F.coalesce(found, F.lit(0))
 
 
 def merge_consecutive(hits: DataFrame, gap: int = MAX_GAP, per: Sequence[str] = ()) -> DataFrame:
@@ -285,14 +289,15 @@ def merge_consecutive(hits: DataFrame, gap: int = MAX_GAP, per: Sequence[str] =
     runs = hits.where("idx is not null").withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = runs.groupBy(*per, "source", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "id", "content", F.col("score").cast("double").alias("score")))).alias("parts"))
     first = F.col("parts")[0]
-    start = F.struct(first["content"].alias("content"), first["score"].alias("score"))
+    # the end is carried along: only it can overlap, and the text so far may be long
+    start = F.struct(first["content"].alias("content"), first["score"].alias("score"), F.right(first["content"], F.lit(MAX_OVERLAP)).alias("end"))
 
     def step(done: Column, part: Column) -> Column:
-        shared = overlap_length(done["content"], part["content"])
+        shared = overlap_length(done["end"], part["content"])
         joined = F.when(shared > 0, F.concat(done["content"], part["content"].substr(shared + 1, F.length(part["content"])))).otherwise(F.concat(done["content"], F.lit(" "), part["content"]))
         a, b = F.length(done["content"]), F.length(part["content"])
         weighted = F.when(a + b > 0, (done["score"] * a + part["score"] * b) / (a + b)).otherwise(done["score"])
-        return F.struct(joined.alias("content"), weighted.alias("score"))
+        return F.struct(joined.alias("content"), weighted.alias("score"), F.right(F.concat(done["end"], F.when(shared > 0, part["content"].substr(shared + 1, F.length(part["content"]))).otherwise(F.concat(F.lit(" "), part["content"]))), F.lit(MAX_OVERLAP)).alias("end"))
 
     merged = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, step)
     out = rows.withColumn("_m", merged)

@@ -668,10 +668,10 @@ def hybrid_search(spark, d):
 
 
 def _hits(spark, d) -> DataFrame:
+    """All chunks of every document, each overlapping the next."""
     docs = _t(spark, d, "documents")
     pieces = text.exploded(docs.select("doc_id", "text"), text.fixed_chunks("text"), "idx", "content")
-    picked = pieces.where(F.pmod(F.col("idx") * 7 + F.col("doc_id"), F.lit(5)) < 2)
-    return picked.select(F.col("doc_id").alias("source"), "idx", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("id"), "content", (1.0 / (1 + F.col("idx"))).alias("score"))
+    return pieces.select(F.col("doc_id").alias("source"), "idx", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("id"), "content", (1.0 / (1 + F.col("idx"))).alias("score"))
 
 
 @query("""WITH c AS (SELECT doc_id AS source, unnest(generate_series(0, (length(text) - 1) // 150)) AS idx FROM documents WHERE length(text) > 0),
@@ -680,6 +680,12 @@ g AS (SELECT *, coalesce((NOT (idx - lag(idx) OVER (PARTITION BY source ORDER BY
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY idx ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM g)
 SELECT source, run, min(idx)::INTEGER AS first_idx, max(idx)::INTEGER AS last_idx, count(*) AS merged_count, max(1.0::DOUBLE / (1 + idx)) AS best_score FROM r GROUP BY 1, 2""")
 def chunk_islands(spark, d):
+    """Runs with gaps: the hits are those that the SQL picks; chunk_runs has all chunks."""
+    return retrieval.islands(_hits(spark, d).where(F.pmod(F.col("idx") * 7 + F.col("source"), F.lit(5)) < 2))
+
+
+@query("""SELECT doc_id AS source, 1::BIGINT AS run, 0 AS first_idx, ((length(text) - 1) // 150)::INTEGER AS last_idx, (length(text) - 1) // 150 + 1 AS merged_count, 1.0::DOUBLE AS best_score FROM documents WHERE length(text) > 0""")
+def chunk_runs(spark, d):
     return retrieval.islands(_hits(spark, d))
 
 

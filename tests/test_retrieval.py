@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -28,6 +29,32 @@ def test_overlaps(spark):
     assert merged["content"] == f"left {shared} right"
 
 
+def test_overlap_is_the_longest_end(spark):
+    draw = random.Random(5)
+    pairs = [("".join(draw.choice("ab") for _ in range(draw.randint(0, 40))), "".join(draw.choice("ab") for _ in range(draw.randint(0, 40)))) for _ in range(300)]
+    pairs += [(a, a[-draw.randint(1, 30) :] + b) for a, b in pairs if a] + [("a" * 600, "a" * 700), (None, "a" * 30)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for least, most in ((3, 25), (20, 500)):
+        want = [next((k for k in range(min(len(a), len(b), most), least - 1, -1) if a[-k:] == b[:k]), 0) if a else 0 for a, b in pairs]
+        assert [r[0] for r in df.orderBy("i").select(R.overlap_length(F.col("a"), F.col("b"), least, most)).collect()] == want
+
+
+def test_merged_chunks_are_whole_documents(spark, tmp_path):
+    from rivulet.plans import catalogue
+
+    draw = random.Random(6)
+    texts = ["".join(draw.choice("abcdefghij ") for _ in range(n)) for n in (30, 200, 340, 1000, 20_000)]
+    texts = [t.replace("  ", "ab").strip() + "." for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["source"]: r for r in catalogue.queries()["merge_chunks"](spark, str(tmp_path)).collect()}
+    assert {i: (r["merged_count"], r["last_idx"]) for i, r in got.items()} == {i: ((len(t) - 1) // 150 + 1, (len(t) - 1) // 150) for i, t in enumerate(texts)}
+    for i, t in enumerate(texts):
+        if (len(t) - 1) % 150 >= 20:  # a last piece under 20 characters has no overlap to find
+            assert got[i]["content"] == t
+    runs = {r["source"]: r["merged_count"] for r in catalogue.queries()["chunk_runs"](spark, str(tmp_path)).collect()}
+    assert runs == {i: r["merged_count"] for i, r in got.items()}
+
+
 def test_date_windows():
     w = R.decay_window("2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z")
     assert w["target"] == datetime(2024, 1, 16, tzinfo=timezone.utc) and w["scale"] == 1_296_000
