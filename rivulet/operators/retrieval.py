@@ -293,11 +293,14 @@ def merge_consecutive(hits: DataFrame, gap: int = MAX_GAP, per: Sequence[str] =
     start = F.struct(first["content"].alias("content"), first["score"].alias("score"), F.right(first["content"], F.lit(MAX_OVERLAP)).alias("end"))
 
     def step(done: Column, part: Column) -> Column:
-        shared = overlap_length(done["end"], part["content"])
-        joined = F.when(shared > 0, F.concat(done["content"], part["content"].substr(shared + 1, F.length(part["content"])))).otherwise(F.concat(done["content"], F.lit(" "), part["content"]))
+        rest = lambda shared: F.when(shared > 0, part["content"].substr(shared + 1, F.length(part["content"]))).otherwise(F.concat(F.lit(" "), part["content"]))
+        # an array of one, so that the rest is computed once
+        rests = F.transform(F.transform(F.array(overlap_length(done["end"], part["content"])), rest), lambda more: F.struct(F.concat(done["content"], more).alias("content"), weighted(done, part).alias("score"), F.right(F.concat(done["end"], more), F.lit(MAX_OVERLAP)).alias("end")))
+        return F.get(rests, F.lit(0))
+
+    def weighted(done: Column, part: Column) -> Column:
         a, b = F.length(done["content"]), F.length(part["content"])
-        weighted = F.when(a + b > 0, (done["score"] * a + part["score"] * b) / (a + b)).otherwise(done["score"])
-        return F.struct(joined.alias("content"), weighted.alias("score"), F.right(F.concat(done["end"], F.when(shared > 0, part["content"].substr(shared + 1, F.length(part["content"]))).otherwise(F.concat(F.lit(" "), part["content"]))), F.lit(MAX_OVERLAP)).alias("end"))
+        return F.when(a + b > 0, (done["score"] * a + part["score"] * b) / (a + b)).otherwise(done["score"])
 
     merged = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, step)
     out = rows.withColumn("_m", merged)
