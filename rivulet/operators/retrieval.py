@@ -50,7 +50,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: in
     Query vectors go to all tasks in passes of at most ``QUERY_PASS`` numbers,
     so their size there is bounded whatever their count; a task multiplies
     matrices and sends each query's best k of a batch, and equal scores, on.
-    Scores are rounded to ``digits``, so ties don't depend on the order of sums; a vector of zeros scores 0.
+    Scores are rounded to ``digits``, so ties don't depend on the order of sums; a vector of zeros scores 0,
+    and the shorter of two vectors counts as filled up with zeros.
     """
     import numpy as np
     import pyarrow as pa
@@ -63,7 +64,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: in
         m = np.zeros((len(rows), dims))
         for i, r in enumerate(rows):
             m[i, : min(len(r), dims)] = r[:dims]
-        length = np.linalg.norm(m, axis=1, keepdims=True)
+        length = np.array([np.linalg.norm(r) for r in rows]).reshape(-1, 1)  # of whole vectors, also those longer than all queries
         return m / np.where(length > 0, length, 1)
 
     def one_pass(part: DataFrame) -> DataFrame:

@@ -105,6 +105,15 @@ def test_threshold_search_has_no_limit(spark, monkeypatch):
     assert catalogue.queries()["score_threshold"](spark, "").first()["n"] == 5
 
 
+def test_vectors_of_unequal_length(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [3.0, 0.0, 4.0]), (2, [1.0])], "id int, vector array<double>")
+    q = spark.createDataFrame([(0, [1.0]), (1, [1.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    want = [(0, 1, 0.6), (0, 2, 1.0), (1, 1, 0.6), (1, 2, 1.0)]
+    for numbers in (100, 1):  # one pass, and several
+        monkeypatch.setattr(R, "QUERY_PASS", numbers)
+        assert sorted((r["query_id"], r["id"], r["score"]) for r in R.dense_topk(v, q, 5).collect()) == want
+
+
 def test_rerank(spark):
     hits = spark.createDataFrame([(0, 1, 0.9, "red fox", "blue fox"), (0, 2, 0.1, "red fox", "a red fox")], "query_id int, id int, score double, q string, d string")
     got = R.rerank(hits, F.col("q"), F.col("d"), 2).orderBy("rank").collect()
