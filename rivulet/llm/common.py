@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; only where nothing is
-    set (tests, a laptop) a temporary folder is used.
+    ``spark.checkpoint.dir`` is read from the session; where nothing is set a
+    local session (tests, a laptop) uses a temporary folder, and any other is an error.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoint-")
-    if sc.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{sc.applicationId}"
 
@@ -36,31 +39,41 @@ def _path(spark: SparkSession, name: str):
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder: it survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a Parquet table in the shared folder: it survives lost executors.
 
+    Other than a checkpoint, a table has its real size, so size estimates don't
+    pile up, and its columns are pruned when it is read.  Tables go when the driver ends, or by
+    discard().
+    """
+    name = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    return keep_until_end(df, name)
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet file in the shared folder, for tables that a loop makes again and again.
 
-    Other than a checkpoint, a file has its real size: size estimates and
-    constraints don't pile up from round to round.  Files go when the driver ends, or by discard().
-    """
+def keep_until_end(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as the Parquet table ``name`` and read back; it is removed when the driver ends."""
     spark = df.sparkSession
-    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(name)
     fs, path = _path(spark, name)
     fs.deleteOnExit(path)
+    df.write.parquet(name)
     out = spark.read.schema(df.schema).parquet(name)
     out._written_to = name
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Removes what written() wrote, when no plan reads it any more."""
-    fs, path = _path(df.sparkSession, df._written_to)
-    fs.delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes what materialize() wrote, when no plan reads it any more."""
+    for df in tables:
+        fs, path = _path(df.sparkSession, df._written_to)
+        fs.delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def column(name: str) -> Column:
+    return F.col(quoted(name))
 
 
 def fresh(names: Iterable[str], wanted: str) -> str:
