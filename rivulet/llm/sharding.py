@@ -19,8 +19,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh
+from .common import column, fresh
 
 SLOTS = 65_537
 SHARDS = 64
@@ -61,8 +62,10 @@ def shard(df: DataFrame, id_col: str = "doc_id", shards: Sequence[str] | None =
     """``df`` with slot and shard (int, the index in ``shards``)."""
     shards = shards or [f"shard-{i:05d}" for i in range(SHARDS)]
     spark = df.sparkSession
-    rows = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), "_slot_key int, _shard_value int")
-    slot, name = fresh(df.columns, "slot"), fresh(df.columns, "shard")
-    placed = df.select("*", slot_of(F.col(id_col), slots).alias(slot))
-    out = placed.join(F.broadcast(rows), placed[slot] == rows["_slot_key"], "left")
-    return out.select(*df.columns, slot, F.col("_shard_value").alias(name))
+    slot = fresh(df.columns, "slot")
+    name = fresh([*df.columns, slot], "shard")
+    key = fresh([*df.columns, slot, name], "key")
+    rows = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), T.StructType([T.StructField(key, T.IntegerType()), T.StructField(name, T.IntegerType())]))
+    placed = df.select(*map(column, df.columns), slot_of(column(id_col), slots).alias(slot))
+    out = placed.join(F.broadcast(rows), column(slot) == column(key), "left")
+    return out.select(*map(column, df.columns), column(slot), column(name))
