@@ -21,7 +21,11 @@ above.  The document at the end of a budget is cut after its last word taken
 Defined results: null and empty texts have size 0 and follow their place in
 key order; a null source is a source, last in order; a source without words
 has target 0 and is not taken; rows that repeat an id are taken, left or cut
-together; an empty table gives an empty result; other columns don't matter.
+together; an empty table gives an empty result; other columns don't matter, whatever their names.
+
+Targets are windows over one row per source, and prefix sums over one row per
+bucket of ``BUCKET_ROWS`` documents of a source: a task holds a source's buckets, a
+four-thousandth of its rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, materialize
+from .common import column, counted, materialize, quoted
 
 WEIGHTS = (1.0, 2.0, 3.0)
 CAP = 3
@@ -92,7 +96,7 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    return docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"), random_key(F.col(id_col), seed).alias("key"))
+    return docs.select(column(source_col).cast("string").alias("source"), column(id_col).alias("id"), size_of(column(text_col)).alias("size"), random_key(column(id_col), seed).alias("key"))
 
 
 def _taken(key: Column, ident: Column, size: Column, cut: bool) -> tuple[Column, Column]:
@@ -126,13 +130,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut after its last word taken.
     """
     slim = materialize(_slim(docs, id_col, text_col, source_col, seed))
-    whole = docs.select(F.struct(*docs.columns).alias("row"))
-    out = _planned(whole, slim, F.col(f"row.{source_col}").cast("string"), weights, cap)
-    ident, text = F.col(f"row.{id_col}"), F.col(f"row.{text_col}")
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("row"))
+    out = _planned(whole, slim, F.col(f"row.{quoted(source_col)}").cast("string"), weights, cap)
+    ident, text = F.col(f"row.{quoted(id_col)}"), F.col(f"row.{quoted(text_col)}")
     times, part = _taken(random_key(ident, seed), ident, size_of(text) if cut else F.lit(0), cut)
     out = out.select("row", times.alias("times"), part.alias("part")).where("times > 0 or part > 0")
     out = out.select("row", "times", "part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times") + F.when(F.col("part") > 0, 1).otherwise(0))).alias("epoch"))
     if cut:
-        head = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.{text_col}"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("part").cast("int")), "")
-        out = out.withColumn("row", F.when(F.col("epoch") > F.col("times"), F.col("row").withField(text_col, head)).otherwise(F.col("row")))
+        head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("part").cast("int")), "")
+        out = out.withColumn("row", F.when(F.col("epoch") > F.col("times"), F.col("row").withField(quoted(text_col), head)).otherwise(F.col("row")))
     return out.select("row.*")
