@@ -13,7 +13,8 @@ fewer words is one gram).  Two documents link when 100 * |x & y| >= 80 * |x | y|
    to the groups' classes.
 4. Round one compares each member of a list with the list's most central class
    only, which is linear in the list, and links are contracted to components.
-   Round two compares the members that are still apart.  In both rounds a parity filter
+   Round two compares the members that are still apart, in pairs of blocks of at most
+   about a thousand members, so a long list is dealt over many tasks.  In both rounds a parity filter
    comes before sets are fetched: the Hamming distance of parity vectors never exceeds the symmetric
    difference.  All filters are exact, so no link is lost, and no pair inside a
    component is made.
@@ -37,14 +38,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import counted, discard, materialize, written
+from .common import column, counted, discard, fresh, materialize
 
 SHINGLE = 5
 SKETCH_BITS = 20
 _SKETCH_CHUNKS = 16
 FILTER_BITS = 24
 PARITY_WORDS = 16
+#: Members of a list that are compared in one task: longer lists are dealt by pairs of blocks of this size.
 _BLOCK = 1024
+#: Parts that the lists of very common grams, and the totals of any list, are dealt by.
+PARTS = 64
+#: Rank (see _ranks) from which a gram's list is dealt by parts: 64 times the mean count of a sketch bucket.
+COMMON_RANK = 6
+#: Texts that a task remembers so as not to send their sets again.
+_SEEN = 1 << 16
 
 
 def linked(n_x, n_y, overlap):
@@ -112,7 +120,7 @@ def _ranks(docs: DataFrame) -> np.ndarray:
 def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """(id, n, a, b, th, p, parity, wide, prefix): set size, set key, text hash, group, parity vectors, prefix grams.
 
-    Of equal sets only the first in a task carries its prefix grams and parity vectors.
+    Of equal sets only the first in a task (of the last ``_SEEN``) carries its prefix grams and parity vectors.
     """
 
     def run(batches):
@@ -131,6 +139,8 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     first = s[np.argsort(rank, kind="stable")[:size]] if rank.any() else s[:size]
                     p[r] = (np.add.reduce(K.mix(first), keepdims=True) * np.uint64(3) + np.uint64(len(s))).view(np.int64)[0]
                     if key not in seen:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
                         seen.add(key)
                         prefix[r] = first.tobytes()
                         parity[r] = _parity(s, PARITY_WORDS)
@@ -221,8 +231,12 @@ def _partnered(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return ok & (other >= 4 * n)
 
 
-def _postings(base: DataFrame) -> DataFrame:
-    """(gram, p, n, pos, m) of groups' prefix grams in lists of two groups or more; m is the list's length."""
+def _postings(base: DataFrame, ranks: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(gram, p, n, pos, m) of groups' prefix grams in lists of two groups or more, m being the list's length; and the table it reads.
+
+    Lists of very common grams are dealt by parts of their groups and put together by
+    counts only; all others are filtered by position at once.
+    """
 
     def explode(batches):
         for batch in batches:
@@ -231,7 +245,10 @@ def _postings(base: DataFrame) -> DataFrame:
                 part = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)[low : low + 256]]
                 size = np.array([len(x) for x in part])
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.repeat(p[low : low + 256], size)), pa.array(np.repeat(n[low : low + 256], size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "p", "n", "pos"])
+                gram, of = np.concatenate(part), np.repeat(p[low : low + 256], size)
+                common = ranks[gram.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)] >= COMMON_RANK
+                dealt = np.where(common, 1 + (K.mix(of.view(np.uint64)) % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(dealt), pa.array(of), pa.array(np.repeat(n[low : low + 256], size).astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "part", "p", "n", "pos"])
 
     def shared(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         c = {name: rows.column(name).to_numpy() for name in rows.schema.names}
@@ -239,72 +256,98 @@ def _postings(base: DataFrame) -> DataFrame:
         new[1:] = np.any([v[1:] != v[:-1] for v in c.values()], axis=0)
         c = {k: v[new] for k, v in c.items()}
         n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(c["gram"][1:] != c["gram"][:-1]) + 1, [len(n)]])
-        size, keep = np.diff(cuts), np.zeros(len(n), dtype=bool)
+        change = (c["gram"][1:] != c["gram"][:-1]) | (c["part"][1:] != c["part"][:-1])
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(n)]])
+        size, keep = np.diff(cuts), c["part"] > 0
         two = cuts[:-1][size == 2]
+        two = two[c["part"][two] == 0]
         keep[two] = keep[two + 1] = _could_link(n[two], pos[two], n[two + 1], pos[two + 1])
         for k in np.flatnonzero(size > 2).tolist():
             at = slice(cuts[k], cuts[k + 1])
-            keep[at] = _partnered(n[at], pos[at])
+            if not keep[cuts[k]]:
+                keep[at] = _partnered(n[at], pos[at])
         kept = np.repeat(np.add.reduceat(keep, cuts[:-1], dtype=np.int32), size)
         if keep.any():
             yield pa.RecordBatch.from_pydict({k: v[keep] for k, v in c.items()} | {"m": kept[keep]})
 
-    rows = base.where("prefix is not null").select("p", "n", "prefix").mapInArrow(explode, "gram bigint, p bigint, n int, pos int")
-    return rows.repartition("gram").sortWithinPartitions("gram", "p", "n", "pos").mapInArrow(_whole_lists(shared, 1), "gram bigint, p bigint, n int, pos int, m int")
+    rows = base.where("prefix is not null").select("p", "n", "prefix").mapInArrow(explode, "gram bigint, part int, p bigint, n int, pos int")
+    rows = rows.repartition("gram", "part").sortWithinPartitions("gram", "part", "p", "n", "pos").mapInArrow(_whole_lists(shared, 2), "gram bigint, part int, p bigint, n int, pos int, m int")
+    rows = materialize(rows)
+    total = Window.partitionBy("gram")
+    lengths = rows.where("part > 0").select("gram", "part", "m").distinct().select("gram", "part", F.sum("m").over(total).cast("int").alias("m")).where("m > 1")
+    common = rows.where("part > 0").drop("m").join(lengths, ["gram", "part"])
+    return rows.where("part = 0").select("gram", "p", "n", "pos", "m").union(common.select("gram", "p", "n", "pos", "m")), rows
 
 
 def _centred(lists: DataFrame, weight: DataFrame) -> DataFrame:
-    """``lists`` with ``centre``, the class of the highest weight of each list."""
-
-    def run(rows: dict) -> dict:
-        centre = rows["cid"][np.lexsort((rows["cid"], -rows["weight"]))[0]]
-        return {k: rows[k] for k in ("gram", "own", "cid", "n", "pos")} | {"centre": np.full(len(rows["cid"]), centre)}
+    """``lists`` with ``centre``, the class of the highest weight of each list, and its ``size``; lists of one row go."""
 
     weighed = lists.join(weight, "cid").select("gram", "own", "cid", "n", "pos", "weight")
-    return weighed.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(run, 2), "gram bigint, own int, cid bigint, n int, pos int, centre bigint")
+    parts = weighed.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(PARTS)).cast("int"))
+    of_part = parts.groupBy("gram", "own", "part").agg(F.count("*").alias("rows"), F.max(F.struct("weight", (-F.col("cid")).alias("id"))).alias("top"))
+    whole = Window.partitionBy("gram", "own")
+    of_list = of_part.select("gram", "own", "part", F.sum("rows").over(whole).alias("size"), F.max("top").over(whole).alias("top")).where("size > 1")
+    return parts.join(of_list.select("gram", "own", "part", (-F.col("top.id")).alias("centre")), ["gram", "own", "part"]).select("gram", "own", "cid", "n", "pos", "centre")
 
 
 def _apart(centred: DataFrame, labels: DataFrame, parity: DataFrame) -> DataFrame:
-    """(x, y): pairs of a list in different components that pass the position and parity filters; centres were compared before."""
+    """(x, y): pairs of a list in different components that pass the position and parity filters; centres were compared before.
+
+    A list is cut into blocks by hash, and each pair of its blocks is a key of
+    its own, so a task compares at most two blocks at a time, however long the list is.
+    """
 
-    def pairs_of(rows: dict, with_parity: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compared(rows: dict, with_parity: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, pos, label = rows["n"].astype(np.int64), rows["pos"].astype(np.int64), rows["label"]
-        for i in range(0, len(n), _BLOCK):
-            for j in range(i, len(n), _BLOCK):
-                x, y = slice(i, i + _BLOCK), slice(j, j + _BLOCK)
+        same = rows["i"][0] == rows["j"][0]
+        here = np.arange(len(n)) if same else np.flatnonzero(rows["block"] == rows["i"])
+        there = here if same else np.flatnonzero(rows["block"] == rows["j"])
+        for low in range(0, len(here), _BLOCK):
+            x = here[low : low + _BLOCK]
+            for at in range(low if same else 0, len(there), _BLOCK):
+                y = there[at : at + _BLOCK]
                 good = (label[x, None] != label[None, y]) & _could_link(n[x, None], pos[x, None], n[None, y], pos[None, y])
-                if i == j:
+                if same and at == low:
                     good = np.triu(good, 1)
                 a, b = np.nonzero(good)
+                a, b = x[a], y[b]
                 if with_parity and len(a):
                     far = np.zeros(len(a), dtype=np.int64)
                     for k in range(PARITY_WORDS):
-                        far += np.bitwise_count((rows["parity"][x, k][a] ^ rows["parity"][y, k][b]).view(np.uint64)).astype(np.int64)
-                    near = 9 * far <= n[x][a] + n[y][b]
+                        far += np.bitwise_count((rows["parity"][a, k] ^ rows["parity"][b, k]).view(np.uint64)).astype(np.int64)
+                    near = 9 * far <= n[a] + n[b]
                     a, b = a[near], b[near]
-                yield a + i, b + j
+                yield a, b
 
     def partnered(rows: dict) -> dict | None:
         if (rows["label"] == rows["label"][0]).all():
             return None
         keep = np.zeros(len(rows["cid"]), dtype=bool)
-        for a, b in pairs_of(rows, False):
+        for a, b in compared(rows, False):
             keep[a] = keep[b] = True
         return {k: v[keep] for k, v in rows.items()} if keep.any() else None
 
     def pairs(rows: dict) -> dict | None:
-        found = [(rows["cid"][a], rows["cid"][b]) for a, b in pairs_of(rows, True) if len(a)]
+        found = [(rows["cid"][a], rows["cid"][b]) for a, b in compared(rows, True) if len(a)]
         if not found:
             return None
         x, y = (np.concatenate(c) for c in zip(*found))
         return {"x": np.minimum(x, y), "y": np.maximum(x, y)}
 
-    ddl = "gram bigint, own int, cid bigint, n int, pos int, label bigint"
     rest = centred.where("cid <> centre").join(labels.withColumnRenamed("v", "cid"), "cid", "left").select("gram", "own", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
-    rest = rest.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(partnered, 2), ddl)
-    rest = rest.join(parity, "cid").select("gram", "own", "cid", "n", "pos", "label", "parity")
-    return rest.repartition("gram", "own").sortWithinPartitions("gram", "own").mapInArrow(_by_list(pairs, 2), "x bigint, y bigint").distinct()
+    # lists of several components, with their lengths
+    parts = rest.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(PARTS)).cast("int"))
+    of_part = parts.groupBy("gram", "own", "part").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"))
+    whole = Window.partitionBy("gram", "own")
+    of_list = of_part.select("gram", "own", "part", F.sum("rows").over(whole).alias("rows"), F.min("low").over(whole).alias("low"), F.max("high").over(whole).alias("high")).where("low < high")
+    rest = parts.join(of_list.select("gram", "own", "part", F.ceil(F.col("rows") / F.lit(_BLOCK)).cast("int").alias("blocks")), ["gram", "own", "part"])
+    rest = rest.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["gram", "own", "i", "j"]
+    rest = rest.select("gram", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cid", "n", "pos", "label", "block")
+    ddl = "gram bigint, own int, i int, j int, cid bigint, n int, pos int, label bigint, block int"
+    rest = rest.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_list(partnered, 4), ddl)
+    rest = rest.join(parity, "cid").select(*keys, "cid", "n", "pos", "label", "block", "parity")
+    return rest.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_by_list(pairs, 4), "x bigint, y bigint").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -326,6 +369,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             bit = th & mask
             passed = np.flatnonzero((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).tolist()
             passed = [i for i in passed if th[i] not in seen and not seen.add(th[i])]
+            if len(seen) >= _SEEN:
+                seen.clear()
             for at in range(0, len(passed), 256):
                 a, b, grams = [], [], []
                 for _, _, buf, offsets in K.text_chunks(batch.column(0).take(pa.array(passed[at : at + 256]))):
@@ -371,7 +416,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     one = sets.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("grams").alias("gx"))
     two = sets.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("grams").alias("gy"))
     both = pairs.join(one, "x").join(two, "y")
-    return materialize(both.where(linked(F.col("nx"), F.col("ny"), F.size(F.array_intersect("gx", "gy")))).select("x", "y"))
+    found = materialize(both.where(linked(F.col("nx"), F.col("ny"), F.size(F.array_intersect("gx", "gy")))).select("x", "y"))
+    discard(pairs, sets)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -381,15 +428,15 @@ def components(links: DataFrame) -> DataFrame:
     vertices and at their parents, and halved in depth each round, so rounds
     grow with the logarithm of a component's diameter.
     """
-    edges = written(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
-    state = written(edges.select(F.col("x").alias("v")).distinct().select("v", F.col("v").alias("up"), F.col("v").alias("top"), F.lit(True).alias("new")))
+    edges = materialize(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct())
+    state = materialize(edges.select(F.col("x").alias("v")).distinct().select("v", F.col("v").alias("up"), F.col("v").alias("top"), F.lit(True).alias("new")))
     while True:
         beside = edges.join(state.select(F.col("v").alias("y"), "top"), "y").groupBy(F.col("x").alias("v")).agg(F.min("top").alias("beside"))
         seen = state.join(beside, "v")
         hook = seen.groupBy(F.col("up").alias("v")).agg(F.min("beside").alias("hook"))
         parents = seen.join(hook, "v", "left").select("v", "top", F.least("up", "top", "beside", F.coalesce("hook", "beside")).alias("next"))
         above = parents.select(F.col("v").alias("next"), F.col("next").alias("after"))
-        last, state = state, written(parents.join(above, "next").select("v", F.col("next").alias("up"), F.col("after").alias("top"), ((F.col("after") != F.col("top")) | (F.col("next") != F.col("top"))).alias("new")))
+        last, state = state, materialize(parents.join(above, "next").select("v", F.col("next").alias("up"), F.col("after").alias("top"), ((F.col("after") != F.col("top")) | (F.col("next") != F.col("top"))).alias("new")))
         discard(last)
         if state.where("new").isEmpty():
             discard(edges)
@@ -398,21 +445,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles, component_id (as the id column)."""
-    text = F.col(text_col).cast("string")
-    docs = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    base = materialize(_prefixes(docs, _ranks(docs)))
+    text = column(text_col).cast("string")
+    docs = docs.select(column(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    ranks = _ranks(docs)
+    base = materialize(_prefixes(docs, ranks))
     # classes: equal sets
     classes = base.where("n > 0").groupBy("a", "b", "n").agg(F.min("th").alias("th"), F.min("p").alias("p"), F.min("id").alias("least"), F.count("*").alias("copies"), F.max("parity").alias("parity"), F.max("wide").alias("wide"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     # lists: classes that share a prefix gram, or a whole prefix
-    outer = _postings(base).join(classes.select("p", "n", "cid"), ["p", "n"]).select("gram", F.lit(0).alias("own"), "cid", F.col("n").cast("int").alias("n"), "pos", "m")
+    posted, table = _postings(base, ranks)
+    outer = posted.join(classes.select("p", "n", "cid"), ["p", "n"]).select("gram", F.lit(0).alias("own"), "cid", F.col("n").cast("int").alias("n"), "pos", "m")
     groups = classes.groupBy("p", "n").agg(F.count("*").cast("int").alias("m")).where("m > 1")
     inner = classes.join(groups, ["p", "n"]).select(F.col("p").alias("gram"), F.lit(1).alias("own"), "cid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"), "m")
     lists = materialize(outer.union(inner))
+    discard(table)
 
     # round one: the most central class of each list
     weight = lists.groupBy("cid").agg(F.sum("m").alias("weight")).join(classes.select("cid", "copies"), "cid").select("cid", (F.col("weight") * 8 + F.least(F.col("copies"), F.lit(7))).alias("weight"))
     centred = materialize(_centred(lists, weight))
+    discard(lists)
     stars = centred.where("cid <> centre").select(F.least("cid", "centre").alias("x"), F.greatest("cid", "centre").alias("y")).distinct()
     one = classes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"))
     two = classes.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"))
@@ -424,6 +475,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # round two: members still apart
     more = _verified(_apart(centred, labels, classes.select("cid", "parity")), docs, classes)
+    discard(centred)
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -435,22 +487,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the least id; columns as they were.
+    """``docs`` with one row of each component of rows with words: that of the least non-null id; columns as they were.
 
     Rows that repeat the kept id count as one more copy: of these the one with
-    the least text hash stays.  Rows with a null id in a component that has no
-    other id stay once as well.
+    the least text hash stays, and of rows with the same text, too, the first by the JSON form of
+    all columns.  Where all ids of a component are null, one row stays by the same
+    rule.  Rows without words link with nothing and all stay.
     """
     names = docs.columns
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    found = materialize(jaccard_components(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text"))
-    drop = counted(found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("_drop_id"), F.col("key.h").alias("_drop_h")).distinct())
-    here = docs[id_col].eqNullSafe(drop["_drop_id"]) & (F.xxhash64(docs[text_col].cast("string")) == drop["_drop_h"])
-    kept = docs.join(drop, here, "left_anti")
-    again = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1 and key is not null").select(F.col("key.id").alias("_again_id"), F.col("key.h").alias("_again_h"))
-    if again.isEmpty():
-        return kept.select(*names)
-    same = kept[id_col].eqNullSafe(again["_again_id"]) & (F.xxhash64(kept[text_col].cast("string")) == again["_again_h"])
-    single, double = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
-    number = Window.partitionBy(double[id_col], F.xxhash64(double[text_col].cast("string"))).orderBy(F.xxhash64(*[c for c in double.columns]))
-    return single.select(*names).union(double.select("*", F.row_number().over(number).alias("_nth_copy")).where("_nth_copy = 1").select(*names))
+    ident, hashed, nth = (fresh(names, name) for name in ("kept_id", "kept_hash", "kept_nth"))
+    h = F.xxhash64(column(text_col).cast("string"))
+    key = F.struct(column(id_col).isNull().alias("unknown"), column(id_col).alias("id"), h.alias("h"))
+    found = materialize(jaccard_components(docs.select(key.alias("key"), column(text_col).alias("text")), "key", "text")).where("n_shingles > 0")
+    drop = counted(found.where(~F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias(ident), F.col("key.h").alias(hashed)).distinct())
+    left = docs.join(drop, column(id_col).eqNullSafe(drop[ident]) & (h == drop[hashed]), "left_anti")
+    again = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy("key").count().where("count > 1").select(F.col("key.id").alias(ident), F.col("key.h").alias(hashed))
+    again = counted(again)
+    same = column(id_col).eqNullSafe(again[ident]) & (h == again[hashed])
+    number = Window.partitionBy(column(id_col), h).orderBy(F.to_json(F.struct(*map(column, names))))
+    single, double = left.join(again, same, "left_anti"), left.join(again, same, "left_semi")
+    first = double.select(*map(column, names), F.row_number().over(number).alias(nth)).where(column(nth) == 1)
+    return single.select(*map(column, names)).union(first.select(*map(column, names)))

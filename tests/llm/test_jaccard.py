@@ -105,7 +105,7 @@ def test_empty_repeated_and_clashing(spark):
     assert got == sorted([("4", 4, "2"), ("4", 4, "2"), ("2", 4, "2"), ("None", 4, "2"), ("None", 0, "None"), ("7", 0, "7")])
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r["cid"] for r in kept.collect()) in (["e", "n", "z"], ["e", "n", "y"])
+    assert sorted(r["cid"] for r in kept.collect()) == ["e", "n", "y"]
     twice = spark.createDataFrame([(4, text), (4, text), (9, text)], "doc_id long, text string")
     assert [r["doc_id"] for r in jaccard.keep_one(twice).collect()] == [4]
 
@@ -117,3 +117,40 @@ def test_keep_one_keeps_whole_rows(spark, corpus):
     got = jaccard.keep_one(df)
     assert sorted(r["doc_id"] for r in got.collect()) == want
     assert got.join(df.withColumnRenamed("text", "t"), "doc_id").where(~F.col("text").eqNullSafe(F.col("t"))).isEmpty()
+
+
+def test_keep_one_keeps_the_least_known_id(spark):
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([(None, text), (5, text), (9, text), (None, "p q r s t u"), (None, "p q r s t u"), (None, None), (3, "")], "doc_id long, text string")
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in jaccard.keep_one(df).collect()), key=str) == sorted([("5", text), ("None", "p q r s t u"), ("None", None), ("3", "")], key=str)
+
+
+def test_keep_one_with_clashing_names_and_maps(spark):
+    text = "a b c d e f g h"
+    names = ["kept_id", "kept_hash", "kept_nth", "a.b", "key", "part", "x`y"]
+    rows = [(4, text, {"k": 1}, *range(7)), (4, text, {"k": 1}, *range(7)), (6, text, {"k": 2}, *range(7)), (8, "other words in a row here", None, *range(7))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "m", *names])
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 8]
+    dotted = df.withColumnsRenamed({"doc_id": "doc.id", "text": "te.xt"})
+    assert sorted(r[0] for r in jaccard.keep_one(dotted, "doc.id", "te.xt").collect()) == [4, 8]
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """Lists of common grams dealt by parts, and pairs by blocks of a few members."""
+    monkeypatch.setattr(jaccard, "_BLOCK", 4)
+    monkeypatch.setattr(jaccard, "COMMON_RANK", 0)
+    monkeypatch.setattr(jaccard, "_SEEN", 3)
+    draw = random.Random(9)
+    word = lambda: f"v{draw.randrange(3000)}"
+    rows = []
+    for _ in range(5):
+        base = [word() for _ in range(40)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(draw.randint(0, 3)):
+                w[draw.randrange(len(w))] = word()
+            rows += [" ".join(w)] * draw.randint(1, 2)
+    rows = list(enumerate(rows))
+    assert run(spark, rows) == brute(rows)
