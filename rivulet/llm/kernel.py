@@ -108,10 +108,17 @@ class Words:
         return len(self.start)
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from prefix sums of byte values times powers."""
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of byte values times powers before each byte: what span_hashes() needs of ``values``."""
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUE[values] * _power(_BASE, len(values)), out=total[1:])
+    return total
+
+
+def span_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of byte spans; ``total`` is prefix_sums(values), for callers that hash several spans of one buffer."""
+    if total is None:
+        total = prefix_sums(values)
     h = (total[stop] - total[start]) * _power(_INVERSE, len(values) + 1)[start]
     return mix(h ^ ((stop - start).astype(np.uint64) * _GRAM))
 

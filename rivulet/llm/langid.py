@@ -3,11 +3,12 @@
 A text is a vector of hashed byte trigrams and hashed words (square roots of
 counts, unit length).  Linear support vector machines, one per family against the
 rest, choose the family; within it one-versus-one machines vote, ties going to the
-larger sum of margins.  The score is the family's probability times the mean
+larger sum of margins, and then to the language that is last in alphabetical order.  The score is the family's probability times the mean
 probability of the winner against its neighbours.
 
-Training uses at most ``PER_LANGUAGE`` rows of each language (and
-``MAX_ROWS`` in all), drawn by a hash of the id; scoring is one pass over all texts.
+Training uses at most ``PER_LANGUAGE`` texts of each language and ``MAX_ROWS`` in
+all, those of the least hashes of id and text, and of as many languages as possible; repeated
+rows count once.  Scoring is one pass over all texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0,
 and so is everything where nothing could be learned; with a single learned language each text
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -124,16 +125,23 @@ def _predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lang, np.clip(score, 0.0, 1.0)
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> dict | None:
+def _sample(rows: DataFrame, per_language: int, max_rows: int) -> DataFrame:
+    """(lang, text) of at most ``max_rows`` rows of (id, text, lang).
+
+    Hashes are drawn first: each task keeps its least ones of a language, so
+    nothing else is shuffled, and texts are read for the hashes drawn alone.
+    """
+    hashed = rows.withColumn("h", F.xxhash64(F.lit("langid"), "id", "text"))
+    number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = hashed.select("lang", "h").distinct().withColumn("n", number).where(F.col("n") <= per_language)
+    drawn = drawn.orderBy("n", "h", "lang").limit(max_rows).select("lang", "h")
+    return hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")  # at most ``max_rows``
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_rows: int = MAX_ROWS) -> dict | None:
     """The model; None where nothing can be learned."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not counts:
-        return None
-    share = min(per_language, max(1, max_rows // len(counts)))
-    rates = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, share / n))))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < rates[F.col("lang")]).select("lang", "text")
+    sample = _sample(rows, per_language, max_rows)
 
     def run(batches):
         for batch in batches:
@@ -141,7 +149,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_la
                 at = np.flatnonzero(has)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low).take(pa.array(at)), pa.array([zlib.compress(v.astype(np.float16).tobytes(), 1) for v in x[at]], pa.binary())], ["lang", "x"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(run, "lang string, x binary").collect())
+    got = sorted((r["lang"], bytes(r["x"])) for r in sample.mapInArrow(run, "lang string, x binary").collect())  # at most max_rows
     if not got:
         return None
     y = np.array([g[0] for g in got], dtype=object)

@@ -21,22 +21,35 @@ def standardizer(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- two-layer network ---------------------------------------------------------
 
 
+#: Parts of the rows that a network's temperature is fitted on, each by a network of the others.
+TEMPERATURE_FOLDS = 3
+
+
 def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, decay: float = 1e-4, seed: int = 7) -> dict:
-    """A tanh layer and a logistic output, by Adam; a fifth of the rows sets the temperature."""
+    """A tanh layer and a logistic output, by Adam, on all rows; the temperature comes from out-of-fold logits, at every size."""
+    fold = np.random.default_rng(seed).permutation(len(x)) % TEMPERATURE_FOLDS
+    logits = np.zeros(len(x))
+    for k in set(fold.tolist()):
+        part = _fit_layers(x[fold != k], y[fold != k], hidden, epochs, decay, seed)
+        logits[fold == k] = _logits(part, (x[fold == k] - part["centre"]) / part["scale"])
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 120))
+    loss = [np.logaddexp(0, np.where(y > 0, -1, 1) * logits / g).mean() for g in grid]
+    return _fit_layers(x, y, hidden, epochs, decay, seed) | {"temperature": float(grid[int(np.argmin(loss))])}
+
+
+def _fit_layers(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, decay: float, seed: int) -> dict:
     rng = np.random.default_rng(seed)
     centre, scale = standardizer(x)
     x = (x - centre) / scale
-    order = rng.permutation(len(x))
-    held = order[: max(1, len(x) // 5)] if len(x) >= 25 else order
-    train = order[len(x) // 5 :] if len(x) >= 25 else order
+    order = np.arange(len(x))
     p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     p[3][0] = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     first, second, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for epoch in range(epochs):
-        rng.shuffle(train)
+        rng.shuffle(order)
         rate = 0.01 * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-        for low in range(0, len(train), 128):
-            xb, yb = x[train[low : low + 128]], y[train[low : low + 128]]
+        for low in range(0, len(order), 128):
+            xb, yb = x[order[low : low + 128]], y[order[low : low + 128]]
             a = np.tanh(xb @ p[0] + p[1])
             e = (sigmoid(a @ p[2] + p[3]) - yb) / len(yb)
             da = np.outer(e, p[2]) * (1 - a * a)
@@ -46,12 +59,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 p[i] -= rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    model = {"centre": centre, "scale": scale, "p": p, "temperature": 1.0}
-    logits = _logits(model, x[held])
-    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 120))
-    loss = [np.logaddexp(0, np.where(y[held] > 0, -1, 1) * logits / g).mean() for g in grid]
-    model["temperature"] = float(grid[int(np.argmin(loss))])
-    return model
+    return {"centre": centre, "scale": scale, "p": p}
 
 
 def _logits(model: dict, x: np.ndarray) -> np.ndarray:

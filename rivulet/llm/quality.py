@@ -1,20 +1,22 @@
 """Document quality: random-indexing word vectors, pooled, and a two-layer network.
 
 Tokens are runs of letters, of digits or of punctuation.  A token's row in the
-vocabulary is its shape (lower case, capitalised, upper case, other) and a hash.  Each
-row has a fixed sparse index vector; a row's word vector is the sum of the index
+vocabulary is a hash of its shape (lower case, capitalised, upper case, other) and
+its letters.  Each row has a fixed sparse index vector; a row's word vector is the sum of the index
 vectors of its neighbours (two on either side) over *all* documents, with
 damped and normalised length.  A document is the mean, spread and neighbour
 similarity of its tokens' vectors.  The network is fitted on a bounded sample of labelled rows
-(samples.SAMPLE_ROWS) and its temperature on a fifth of these.
+(samples.SAMPLE_ROWS), its temperature on out-of-fold logits of these.
 
-The word vectors have a fixed size (``ROWS`` x ``DIMS`` sums, 4 MB): tasks send sums,
-which are added up as they stream.  Then one pass scores all texts.
+There are at most ``ROWS`` x ``DIMS`` sums (67 MB as floats), however many words a
+corpus has; a million words make four share a row.  Tasks send the sums of the rows they
+met, which are added up by ranges of rows as they stream; only rows that occur come to the
+driver and go to the tasks.  Then one pass scores all texts.
 
 Defined results: a null or empty text has the score of a document without
 tokens; without any labelled row, or with one label only, every score is the mean label
-(0.5 without labels); repeated rows and null ids give a row each; other columns
-are ignored.
+(0.5 without labels); ids with two different labels are not learned from; repeated rows
+and null ids give a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ from . import kernel as K
 from . import learn
 from .samples import labelled_texts
 
-HASH_BITS = 12
-ROWS = 4 << HASH_BITS
-DIMS = 32
+HASH_BITS = 18
+ROWS = 1 << HASH_BITS
+DIMS = 64
 NEIGHBOURS = 2
-_CHUNKS = 8
+#: Rows of the vocabulary that are added up together.
+RANGE = 4096
+SHAPES = 4
+#: Texts that are pooled together: their tokens' vectors stay in the processor's cache.
+_POOL_BYTES = 1 << 16
 
 _CLASS = np.full(256, 3, dtype=np.uint8)
 _CLASS[K.byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = 1
@@ -44,14 +50,14 @@ _CLASS[K.byte_set((0x00, 0x20), (0x7F, 0x7F))] = 0
 _rng = np.random.default_rng(41)
 #: Index vectors: two places and signs for each vocabulary row.
 _PLACES = _rng.integers(0, DIMS, (2, ROWS))
-_SIGNS = _rng.choice([-1.0, 1.0], (2, ROWS))
+_SIGNS = _rng.choice(np.array([-1, 1], dtype=np.int32), (2, ROWS))
 
 
-def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vocabulary row, document row) of each token of a chunk."""
+def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vocabulary row, document row, shape) of each token of a chunk."""
     kind = _CLASS[buf]
     if not len(buf):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     edge = np.ones(len(buf) + 1, dtype=bool)
     edge[1:-1] = kind[1:] != kind[:-1]
     edge[offsets] = True
@@ -61,30 +67,60 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, stop = start[solid], stop[solid]
     upper = np.concatenate([[0], np.cumsum((buf >= 65) & (buf <= 90))])
     caps = upper[stop] - upper[start]
-    shape = np.where(kind[start] != 1, 3, np.minimum(caps, 2))
-    h = K.span_hashes(K.LOWER[buf], start, stop) >> np.uint64(64 - HASH_BITS)
-    return (shape.astype(np.int64) << HASH_BITS) | h.astype(np.int64), np.searchsorted(offsets, start, "right") - 1
+    shape = np.where(kind[start] != 1, 3, np.minimum(caps, 2)).astype(np.int64)
+    h = K.mix(K.span_hashes(K.LOWER[buf], start, stop) + shape.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
+    return h.astype(np.int64), np.searchsorted(offsets, start, "right") - 1, shape
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """(ROWS, DIMS) from all texts of the column ``text``."""
+class Vectors:
+    """Word vectors of the rows that occur; all others are zero."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray):
+        self.place = np.zeros(ROWS, dtype=np.int32)
+        self.place[rows] = np.arange(1, len(rows) + 1)
+        self.vectors = np.vstack([np.zeros((1, DIMS), np.float32), vectors.astype(np.float32)])
+
+    def __getitem__(self, words: np.ndarray) -> np.ndarray:
+        return self.vectors[self.place[words]]
+
+
+def word_vectors(docs: DataFrame) -> Vectors:
+    """From all texts of the column ``text``."""
 
     def count(batches):
-        total = np.zeros(ROWS * DIMS)
+        total = np.zeros(ROWS * DIMS, dtype=np.int32)
         for batch in batches:
-            for _, _, buf, offsets in K.text_chunks(batch.column(0), 1 << 20):
-                word, row = tokens(buf, offsets)
+            for _, _, buf, offsets in K.text_chunks(batch.column(0)):
+                word, row, _ = tokens(buf, offsets)
                 for far in range(1, NEIGHBOURS + 1):
                     near = row[far:] == row[:-far]
                     left, right = word[:-far][near], word[far:][near]
                     for places, signs in zip(_PLACES, _SIGNS):
-                        total += np.bincount(left * DIMS + places[right], signs[right], ROWS * DIMS)
-                        total += np.bincount(right * DIMS + places[left], signs[left], ROWS * DIMS)
-        yield from K.emit_parts(total, _CHUNKS)
-
-    sums = K.collect_sums(docs.select("text").mapInArrow(count, "chunk int, data binary"), "<f8", ROWS * DIMS, _CHUNKS).reshape(ROWS, DIMS)
-    damped = np.sign(sums) * np.sqrt(np.abs(sums))
-    return (damped / np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+                        np.add.at(total, left * DIMS + places[right], signs[right])
+                        np.add.at(total, right * DIMS + places[left], signs[left])
+        total = total.reshape(ROWS, DIMS)
+        used = np.flatnonzero(total.any(axis=1))
+        for part in np.split(used, np.searchsorted(used, np.arange(RANGE, ROWS, RANGE))):
+            if len(part):
+                yield pa.RecordBatch.from_arrays([pa.array([part[0] // RANGE], pa.int32()), pa.array([part.astype(np.int32).tobytes()]), pa.array([total[part].tobytes()])], ["range", "words", "sums"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, words, sums in zip(*batch.columns):
+                words = np.frombuffer(words.as_buffer(), np.int32) % RANGE
+                total.setdefault(k.as_py(), np.zeros((RANGE, DIMS), np.int64))[words] += np.frombuffer(sums.as_buffer(), np.int32).reshape(-1, DIMS)
+        for k, sums in total.items():
+            damped = np.sign(sums) * np.sqrt(np.abs(sums))
+            used = np.flatnonzero(sums.any(axis=1))
+            unit = (damped[used] / np.linalg.norm(damped[used], axis=1, keepdims=True)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([(used + k * RANGE).astype(np.int32).tobytes()]), pa.array([unit.tobytes()])], ["words", "vectors"])
+
+    parts = docs.select("text").mapInArrow(count, "range int, words binary, sums binary")
+    got = parts.repartition(16, "range").mapInArrow(add, "words binary, vectors binary").collect()  # at most ROWS vectors
+    rows = np.concatenate([np.frombuffer(r["words"], np.int32) for r in got]) if got else np.zeros(0, np.int32)
+    vectors = np.concatenate([np.frombuffer(r["vectors"], np.float32).reshape(-1, DIMS) for r in got]) if got else np.zeros((0, DIMS))
+    return Vectors(rows, vectors)
 
 
 def _mean(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -95,10 +131,10 @@ def _mean(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def pooled(column: pa.Array, vectors: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+def pooled(column: pa.Array, vectors: Vectors) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, row after the last, features) of a column of texts."""
-    for low, high, buf, offsets in K.text_chunks(column, 1 << 19):
-        word, row = tokens(buf, offsets)
+    for low, high, buf, offsets in K.text_chunks(column, _POOL_BYTES):
+        word, row, shape = tokens(buf, offsets)
         first = np.searchsorted(row, np.arange(high - low + 1))
         n = np.diff(first)
         v = vectors[word]
@@ -108,28 +144,28 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> Iterator[tuple[int, int, np
         same = np.zeros(len(word))
         if len(word) > 1:
             near = row[1:] == row[:-1]
-            beside[1:] = (v[1:] * v[:-1]).sum(axis=1) * near
+            beside[1:] = np.einsum("ij,ij->i", v[1:], v[:-1]) * near
             same[1:] = (word[1:] == word[:-1]) & near
-        shape = np.stack([_mean((word >> HASH_BITS == k).astype(float), first, n) for k in range(4)], axis=1)
+        shapes = np.stack([_mean((shape == k).astype(float), first, n) for k in range(SHAPES)], axis=1)
         extra = np.stack([_mean(beside, first, n), _mean(same, first, n), np.linalg.norm(mean, axis=1), np.log1p(n)], axis=1)
-        yield low, high, np.hstack([mean, spread, extra, shape])
+        yield low, high, np.hstack([mean, spread, extra, shapes])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def train(docs: DataFrame, labels: DataFrame, label_col: str, vectors: Vectors, id_col: str = "doc_id", text_col: str = "text") -> dict:
     def run(batches):
         for batch in batches:
             for low, high, x in pooled(batch.column(1), vectors):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["y", "x"])
 
     sample = labelled_texts(docs, labels, label_col, id_col, text_col).select("y", "text")
-    got = sorted((r["y"], bytes(r["x"])) for r in sample.mapInArrow(run, "y int, x binary").collect())
+    got = sorted((r["y"], bytes(r["x"])) for r in sample.mapInArrow(run, "y int, x binary").collect())  # at most samples.SAMPLE_ROWS
     y = np.array([g[0] for g in got], dtype=float)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y.mean()) if len(y) else 0.5}
     return learn.fit_network(np.stack([np.frombuffer(g[1], np.float32) for g in got]).astype(float), y)
 
 
-def score(docs: DataFrame, model: dict, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, vectors: Vectors, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score."""
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -43,7 +43,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(docs.where(remainder("doc_id", 4) != 2), "doc_id", "text", "lang")
+    model = langid.train(docs.where(remainder("doc_id", 4) != 2))
     found = langid.identify(docs, model)
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
