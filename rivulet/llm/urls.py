@@ -2,10 +2,11 @@
 
 A rule is (host, path, verdict); it fits its host and all subdomains if the
 url's path starts with the rule's.  Rules are listed under canonical keys,
-host (A-Z lower-cased) followed by path.  For each page the keys that could be
-listed are made (host endings of at most as many labels as a rule has, path
-beginnings of the lengths that rules have).  A blocked Bloom filter of fixed size (each
-key sets its bits within one 512-bit block) drops nearly all of them; what passes is
+host (A-Z lower-cased) followed by path.  One pass over the pages looks up the
+host endings (of at most as many labels as a rule has) in a blocked Bloom
+filter of fixed size (each key sets its bits within one 512-bit block); only for those that
+pass are the path beginnings of the lengths that rules have looked up as canonical keys, as
+hashes of spans of the url's bytes.  What passes becomes a string and is
 joined exactly with the rules, which removes false positives.  Of the rules that
 fit, the one with the longest key wins.
 
@@ -18,12 +19,16 @@ everything; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .common import column, counted, materialize
 
 #: 2**15 blocks of 512 bits: 2 MB, whatever the number of rules.
 BLOCK_BITS = 15
@@ -32,68 +37,105 @@ PROBES = 6
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _probes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word index, bit) arrays of shape (keys, PROBES)."""
-    words, bits = [], []
+#: Hosts and whole keys are told apart by what is added to their hashes.
+_HOST, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0)
+_DOT = ord(".")
+
+
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, bit) arrays of shape (hashes, PROBES)."""
+    block = (h >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+    inner = K.mix(h)[:, None] >> np.arange(0, 9 * PROBES, 9, dtype=np.uint64) & np.uint64(511)
+    return block[:, None] * 8 + (inner >> np.uint64(6)).astype(np.int64), inner & np.uint64(63)
+
+
+def _listed(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    word, bit = _probes(h)
+    return ((bits[word] >> bit) & np.uint64(1)).astype(bool).all(axis=1)
+
+
+def _hashes(keys: pa.Array, kind: np.uint64) -> Iterator[np.ndarray]:
     for _, _, buf, offsets in K.text_chunks(keys):
-        h = K.span_hashes(buf, offsets[:-1], offsets[1:])
-        block = (h >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
-        inner = K.mix(h)[:, None] >> np.arange(0, 9 * PROBES, 9, dtype=np.uint64) & np.uint64(511)
-        words.append(block[:, None] * 8 + (inner >> np.uint64(6)).astype(np.int64))
-        bits.append(inner & np.uint64(63))
-    return (np.concatenate(words), np.concatenate(bits)) if words else (np.zeros((0, PROBES), np.int64), np.zeros((0, PROBES), np.uint64))
+        yield K.mix(K.span_hashes(buf, offsets[:-1], offsets[1:]) + kind)
 
 
 def bloom_filter(rules: DataFrame) -> np.ndarray:
-    """The filter over the column ``key``: at most 2**18 words come to the driver."""
+    """The filter over the columns ``host`` and ``key``: at most 2**18 words come to the driver."""
 
     def run(batches):
         for batch in batches:
-            word, bit = _probes(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(word.ravel().astype(np.int32)), pa.array((np.uint64(1) << bit).ravel().view(np.int64))], ["word", "bits"])
+            for i, kind in enumerate((_HOST, _KEY)):
+                for h in _hashes(batch.column(i), kind):
+                    word, bit = _probes(h)
+                    yield pa.RecordBatch.from_arrays([pa.array(word.ravel().astype(np.int32)), pa.array((np.uint64(1) << bit).ravel().view(np.int64))], ["word", "bits"])
 
-    found = rules.select("key").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = rules.select("host", "key").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(8 << BLOCK_BITS, dtype=np.uint64)
     for r in found.collect():
         bits[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
     return bits
 
 
-def _passed(pages: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``pages`` with only those of ``keys`` that the filter passes."""
-    schema = pages.schema
+def _passed(pages: DataFrame, bits: np.ndarray, labels: int, lengths: np.ndarray) -> DataFrame:
+    """``pages`` (rid, id, host, path) with ``keys``: those canonical keys that the filter passes.
+
+    lengths: of the rules' paths in bytes, rising.
+    """
+
+    def endings(host: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first byte) of each host's endings of 1 to ``labels`` labels."""
+        rows = np.arange(len(offsets) - 1)
+        dot = np.flatnonzero(host == _DOT)
+        row = np.searchsorted(offsets, dot, "right") - 1
+        after = np.searchsorted(dot, offsets[1:])[row] - np.arange(len(dot))  # dots of the row from this one on
+        near = after <= labels
+        whole = np.diff(np.searchsorted(dot, offsets)) < labels
+        return np.concatenate([row[near], rows[whole]]), np.concatenate([dot[near] + 1, offsets[:-1][whole]])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("keys")
-            lists = batch.column(at)
-            word, bit = _probes(lists.flatten())
-            hit = ((bits[word] >> bit) & np.uint64(1)).all(axis=1) if len(word) else np.zeros(0, bool)
-            offsets = np.asarray(lists.offsets) - (lists.offsets[0].as_py() if len(lists.offsets) else 0)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            kept = pa.ListArray.from_arrays(pa.array(total[offsets].astype(np.int32)), lists.flatten().filter(pa.array(hit)))
-            yield batch.set_column(at, batch.schema.field(at).name, kept)
-
-    return pages.mapInArrow(run, schema)
+            whole = pc.binary_join_element_wise(batch.column(2), batch.column(3), "")
+            size = pc.binary_length(batch.column(2)).to_numpy()
+            out: list[list[str]] = []
+            for low, high, buf, offsets in K.text_chunks(whole):
+                end = offsets[:-1] + size[low:high]
+                within = np.repeat(np.arange(high - low), np.diff(offsets))
+                hosts = buf[np.arange(len(buf)) < end[within]] if len(buf) else buf
+                host_offsets = np.concatenate([[0], np.cumsum(size[low:high])]).astype(np.int64)
+                row, start = endings(hosts, host_offsets)
+                start = start - host_offsets[row] + offsets[row]
+                total = K.prefix_sums(buf)
+                ok = _listed(bits, K.mix(K.span_hashes(buf, start, end[row], total) + _HOST))
+                row, start = row[ok], start[ok]
+                keys: list[list[str]] = [[] for _ in range(high - low)]
+                raw = buf.tobytes()
+                for at in range(0, len(row), 4096):
+                    r, s = row[at : at + 4096], start[at : at + 4096]
+                    stop = end[r][:, None] + lengths[None, :]
+                    i, j = np.nonzero(stop <= offsets[r + 1][:, None])
+                    ok = _listed(bits, K.mix(K.span_hashes(buf, s[i], stop[i, j], total) + _KEY))
+                    for a, b in zip(i[ok].tolist(), j[ok].tolist()):
+                        keys[r[a]].append(raw[s[a] : stop[a, b]].decode("utf-8", "ignore"))
+                out += keys
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "keys"])
+
+    kind = pages.schema["id"].dataType.simpleString()
+    return pages.mapInArrow(run, f"rid bigint, id {kind}, host string, path string, keys array<string>")
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule (or null), verdict.  ``rules`` has host, path, verdict."""
     listed = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWERED).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-    listed = listed.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("n"), "verdict")
+    listed = listed.select("host", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.octet_length("path").alias("n"), "verdict")
     shape = listed.agg(F.max("labels").alias("labels"), F.array_sort(F.collect_set("n")).alias("lengths")).first()
     bits = bloom_filter(listed)
-    listed = listed.groupBy("key").agg(F.max("verdict").alias("rule_verdict"))  # 'block' comes after 'allow'
+    listed = counted(listed.groupBy("key").agg(F.max("verdict").alias("rule_verdict")))  # 'block' comes after 'allow'
 
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    url = F.coalesce(column(url_col).cast("string"), F.lit(""))
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
-    parts = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.translate(F.regexp_extract(url, pattern, 1), UPPER, LOWERED).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"))
-    labels = F.split("host", r"\.")
-    endings = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(shape["labels"] or 1))), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
-    lengths = F.array(*(F.lit(n) for n in shape["lengths"] or [0]))
-    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(endings, lambda e: F.transform(fitting, lambda n: F.concat(e, F.col("path").substr(F.lit(1), n)))))
-    parts = _passed(parts.select("rid", "id", "host", "path", keys.alias("keys")), bits)
+    parts = pages.select(F.monotonically_increasing_id().alias("rid"), column(id_col).alias("id"), F.translate(F.regexp_extract(url, pattern, 1), UPPER, LOWERED).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"))
+    # pages are read once; what has hits is a part of this table
+    parts = materialize(_passed(parts, bits, shape["labels"] or 1, np.array(shape["lengths"] or [0], dtype=np.int64)))
 
     clear = parts.where(F.size("keys") == 0).select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
     likely = parts.where(F.size("keys") > 0).select("rid", "id", "host", "path", F.explode("keys").alias("key"))

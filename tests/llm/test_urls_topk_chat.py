@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,12 +47,11 @@ def test_many_rules_and_none(spark):
 
 
 def test_bloom_filter_has_no_false_negative(spark):
-    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    bits = urls.bloom_filter(keys)
-    word, bit = urls._probes(__import__("pyarrow").array([f"k{i}" for i in range(5000)]))
-    assert ((bits[word] >> bit) & np.uint64(1)).all()
-    word, bit = urls._probes(__import__("pyarrow").array([f"q{i}" for i in range(5000)]))
-    assert ((bits[word] >> bit) & np.uint64(1)).all(axis=1).mean() < 0.01
+    rules = spark.range(5000).select(F.concat(F.lit("h"), "id").alias("host"), F.concat(F.lit("k"), "id").alias("key"))
+    bits = urls.bloom_filter(rules)
+    for kind, letter in ((urls._HOST, "h"), (urls._KEY, "k")):
+        inside, outside = (np.concatenate(list(urls._hashes(pa.array([f"{c}{i}" for i in range(5000)]), kind))) for c in (letter, "q"))
+        assert urls._listed(bits, inside).all() and urls._listed(bits, outside).mean() < 0.01
 
 
 # -- top-k -----------------------------------------------------------------------------
