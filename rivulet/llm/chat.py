@@ -127,10 +127,10 @@ def _chat_batch(rows: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(conv, kind), pa.array(count, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(mask))), pa.array(text, pa.string())], ["conv_id", "n_turns", "input_ids", "loss_mask", "formatted"])
 
 
-def _segments(ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(mark, ids after it up to the next mark) in order."""
-    at = np.flatnonzero(ids >= TURN)
-    return [(int(ids[a]), ids[a + 1 : b]) for a, b in zip(at, [*at[1:], len(ids)])]
+def _segments(ids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(mark, first place after it, place of the next mark) in order."""
+    at = np.flatnonzero(ids >= TURN).tolist()
+    return [(int(ids[a]), a + 1, b) for a, b in zip(at, [*at[1:], len(ids)])]
 
 
 def _decoded(ids: np.ndarray, encoder) -> str:
@@ -138,19 +138,26 @@ def _decoded(ids: np.ndarray, encoder) -> str:
 
 
 def to_text(ids: np.ndarray, encoder) -> str:
-    return "".join(MARKS[mark] + _decoded(part, encoder) for mark, part in _segments(ids))
+    return "".join(MARKS[mark] + _decoded(ids[a:b], encoder) for mark, a, b in _segments(ids))
 
 
-def read_turns(ids: np.ndarray, encoder) -> list[tuple[str, str]]:
+def _said(ids: np.ndarray, encoder) -> dict[tuple[int, int], str]:
+    """The text of each segment, by its place; each is decoded once."""
+    return {(a, b): unescape(_decoded(ids[a:b], encoder)) for _, a, b in _segments(ids)}
+
+
+def read_turns(ids: np.ndarray, encoder, said: dict[tuple[int, int], str] | None = None) -> list[tuple[str, str]]:
     """(role, text) of each turn, from token ids alone."""
-    said = [(mark, unescape(_decoded(part, encoder))) for mark, part in _segments(ids)]
-    return [(role, text) for (mark, role), (_, text) in zip(said, said[1:]) if mark == TURN]
+    said = _said(ids, encoder) if said is None else said
+    parts = [(mark, said[a, b]) for mark, a, b in _segments(ids)]
+    return [(role, text) for (mark, role), (_, text) in zip(parts, parts[1:]) if mark == TURN]
 
 
-def learned_texts(ids: np.ndarray, mask: np.ndarray, encoder) -> list[str]:
-    """The texts under the loss mask, from ids and mask alone."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]])))
-    return [unescape(_decoded(ids[a:b], encoder)) for a, b in zip(edge[::2], edge[1::2])]
+def learned_texts(ids: np.ndarray, mask: np.ndarray, encoder, said: dict[tuple[int, int], str] | None = None) -> list[str]:
+    """The texts under the loss mask, from ids and mask alone; ``said`` has those already decoded."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask, [0]]))).tolist()
+    said = said or {}
+    return [said[a, b] if (a, b) in said else unescape(_decoded(ids[a:b], encoder)) for a, b in zip(edge[::2], edge[1::2])]
 
 
 def digests(chats: DataFrame, vocabulary: bytes, conv_col: str = "conv_id") -> DataFrame:
@@ -164,11 +171,12 @@ def digests(chats: DataFrame, vocabulary: bytes, conv_col: str = "conv_id") -> D
             out: tuple = ([], [], [], [], [])
             for i in range(batch.num_rows):
                 ids, mask = (np.asarray(batch.column(c)[i].values) for c in (1, 2))
-                turns = read_turns(ids, encoder)
+                said = _said(ids, encoder)
+                turns = read_turns(ids, encoder, said)
                 whole, learned = hashlib.sha256(), hashlib.sha256()
                 for role, text in turns:
                     whole.update(f"{role}\n{text}\n".encode())
-                texts = learned_texts(ids, mask, encoder)
+                texts = learned_texts(ids, mask, encoder, said)
                 for text in texts:
                     learned.update(text.encode())
                 for o, v in zip(out, (len(turns), whole.hexdigest(), sum(map(len, texts)), learned.hexdigest(), len(batch.column(3)[i].as_py()))):
