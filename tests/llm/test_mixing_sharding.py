@@ -132,3 +132,21 @@ def test_sharding_rows(spark):
     assert sharding.shard(df.limit(0)).collect() == []
     plan = sharding.shard(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan
+
+
+def test_sharding_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], ["doc.id", "_slot_key", "_shard_value", "key", "a`b"])
+    out = sharding.shard(df, "doc.id")
+    assert out.columns == [*df.columns, "slot", "shard"] and tuple(out.first()[:5]) == (1, 2, 3, 4, 5)
+    plain = spark.createDataFrame([(1,)], ["doc_id"])
+    assert tuple(out.first()[5:]) == tuple(sharding.shard(plain).first()[1:])
+
+
+def test_mix_with_clashing_names(spark):
+    rows = rows_of(5, ["a", "a", "b"], 60)
+    df = table(spark, rows)
+    odd = df.toDF("doc.id", "te.xt", "so.urce").withColumns({n: F.lit(1) for n in ("row", "times", "plan_times", "epoch", "x.y")})
+    want = sorted(map(str, mixing.mix(df).collect()))
+    got = mixing.mix(odd, "doc.id", "te.xt", "so.urce")
+    assert got.columns == odd.columns
+    assert sorted(map(str, got.toDF(*(f"c{i}" for i in range(8))).select("c0", "c1", "c2").toDF("doc_id", "text", "source").collect())) == want
