@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .state import cut_lineage
+
 # What makes an error worth another try, and codes recognised in messages.
 RETRYABLE = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED", "fetch failed", "rate limit")
 CODES = ("ECONNRESET", "ETIMEDOUT", "ECONNREFUSED")
 
+#: Errors that a raised error holds; their number is always exact.
+MOST_ERRORS = 1000
+
 ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("message", T.StringType()), T.StructField("retryable", T.BooleanType())])
 METADATA = T.StructType([T.StructField("item_index", T.LongType()), T.StructField("attempts", T.IntegerType()), T.StructField("errors", T.ArrayType(T.StringType()))])
 
@@ -35,11 +40,12 @@ class Strategy(Enum):
 
 
 class ProcessingError(RuntimeError):
-    """Rows failed: a code, whether any is worth another try, and the errors with their indexes."""
+    """Rows failed: a code, whether any is worth another try, how many failed, and the first errors with their indexes."""
 
-    def __init__(self, message: str, code: str, retryable: bool, errors: Sequence = ()):
+    def __init__(self, message: str, code: str, retryable: bool, errors: Sequence = (), total: int | None = None):
         super().__init__(message)
         self.code, self.retryable, self.errors = code, retryable, list(errors)
+        self.total = len(self.errors) if total is None else total
 
 
 def result_type(data: T.DataType) -> T.StructType:
@@ -118,21 +124,23 @@ def failures(results: DataFrame) -> DataFrame:
 def resolve(results: DataFrame, strategy: Strategy) -> DataFrame:
     """Applies a strategy to result rows; FAIL_FAST and COLLECT_ERRORS raise at this point if any row failed.
 
-    A stage that collects errors still fails as a whole; the raised error holds
-    each failed row's index and message.
+    These two fix the results first, so that a row's function is called once
+    and not again by what follows.  A stage that collects errors still fails as a whole; the raised error
+    holds the number of failed rows, and index and message of the first ``MOST_ERRORS``.
     """
     if strategy is Strategy.WRAP_ERRORS:
         return results
     if strategy is Strategy.SKIP_FAILED:
         return successes(results)
+    results = cut_lineage(results)
     total = results.agg(F.count("*").alias("n"), F.count_if(~F.col("result.success")).alias("failed"), F.min(F.when(~F.col("result.success"), F.struct("result.metadata.item_index", "result.error.code", "result.error.message", "result.error.retryable"))).alias("first"), F.max(F.coalesce("result.error.retryable", F.lit(False))).alias("again")).first()
     if not total["failed"]:
         return results
     if strategy is Strategy.FAIL_FAST:
         first = total["first"]
-        raise ProcessingError(first["message"], first["code"], bool(first["retryable"]), [(first["item_index"], first["message"])])
-    errors = failures(results).select("result.metadata.item_index", "result.error.message").orderBy("item_index")
-    raise ProcessingError(f"{total['failed']} of {total['n']} items failed", "LIST_PROCESSING_ERRORS", bool(total["again"]), [tuple(r) for r in errors.toLocalIterator()])
+        raise ProcessingError(first["message"], first["code"], bool(first["retryable"]), [(first["item_index"], first["message"])], total["failed"])
+    errors = failures(results).select("result.metadata.item_index", "result.error.message").orderBy("item_index").limit(MOST_ERRORS)
+    raise ProcessingError(f"{total['failed']} of {total['n']} items failed", "LIST_PROCESSING_ERRORS", bool(total["again"]), [tuple(r) for r in errors.collect()], total["failed"])
 
 
 def until_failure(results: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import errors, order as ordering, windows
-from .state import State
+from .state import State, cut_lineage
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -220,16 +220,21 @@ class Flow:
         return self.df.agg(F.aggregate(F.transform(items, lambda x: x["item"]), start, step).alias("value")).first()["value"]
 
     def execute(self) -> Result:
-        """Runs the flow; errors become a failed result with a code."""
+        """Runs the flow once; errors become a failed result with a code.
+
+        The data is a DataFrame fixed in the checkpoint folder, not rows on the driver; ``rows`` is its count.
+        """
         trace, began = uuid.uuid4().hex, time.time()
         meta = {"trace_id": trace, "started": began, "stages": [{"name": s.name, "kind": s.kind, "span_id": uuid.uuid4().hex[:16], "build_ms": s.build_ms} for s in self.stages]}
         try:
-            data = self.to_array()
+            data = cut_lineage(self.df)
+            rows = data.count()
+            data = data.orderBy(*self.order) if self.order else data
         except errors.ProcessingError as e:
             return Result(False, error={"code": e.code, "message": str(e), "retryable": e.retryable}, metadata=meta | {"duration_ms": (time.time() - began) * 1000})
         except Exception as e:
             return Result(False, error={"code": "UNHANDLED_ERROR", "message": str(e), "retryable": errors.retryable(str(e))}, metadata=meta | {"duration_ms": (time.time() - began) * 1000})
-        return Result(True, data, metadata=meta | {"duration_ms": (time.time() - began) * 1000, "rows": len(data)})
+        return Result(True, data, metadata=meta | {"duration_ms": (time.time() - began) * 1000, "rows": rows})
 
     def __iter__(self) -> Iterator[Row]:
         return self._sorted().toLocalIterator()
@@ -239,11 +244,11 @@ class Flow:
 
 # Parts of step names, looked up in this order, and what is advised for each category.
 CATEGORIES = {
-    "io_bound": "read write fetch api db database",
-    "aggregation": "sort group aggregate sum count statistics",
-    "expansion": "split chunk expand flatten flatmap",
-    "reduction": "filter dedupe sample limit take",
-    "stateful": "cache memo state rate throttle",
+    "io_bound": ("read", "write", "fetch", "api", "db", "database"),
+    "aggregation": ("sort", "group", "aggregate", "sum", "count", "statistics"),
+    "expansion": ("split", "chunk", "expand", "flatten", "flatmap"),
+    "reduction": ("filter", "dedupe", "sample", "limit", "take"),
+    "stateful": ("cache", "memo", "state", "rate", "throttle"),
 }
 ADVICE = {"pure_transform": (True, 0.9, "to_streaming"), "io_bound": (True, 0.95, "to_streaming"), "expansion": (True, 0.9, "manual"), "reduction": (True, 0.8, "hybrid"), "stateful": (True, 0.7, "manual"), "aggregation": (False, 0.3, "keep_batch")}
 
@@ -252,7 +257,7 @@ def categorize(name: Column) -> Column:
     """The category that a step's name suggests."""
     low, out = F.lower(name), None
     for category, parts in CATEGORIES.items():
-        hit = functools.reduce(lambda a, b: a | b, (low.contains(p) for p in parts.split()))
+        hit = functools.reduce(lambda a, b: a | b, (low.contains(p) for p in parts))
         out = F.when(hit, category) if out is None else out.when(hit, category)
     return out.otherwise("pure_transform")
 
@@ -260,7 +265,7 @@ def categorize(name: Column) -> Column:
 def advise(name: str) -> dict:
     """Category, whether streaming is recommended, how strongly, and how."""
     low = name.lower()
-    category = next((c for c, parts in CATEGORIES.items() if any(p in low for p in parts.split())), "pure_transform")
+    category = next((c for c, parts in CATEGORIES.items() if any(p in low for p in parts)), "pure_transform")
     recommended, strength, approach = ADVICE[category]
     return {"category": category, "recommended": recommended, "strength": strength, "approach": approach}
 

@@ -11,7 +11,7 @@ from rivulet.operators.state import State
 def test_flow_of_stages(numbers):
     f = Flow.start(numbers(1, 2, 3, 4, 5), ["ord"]).filter("odd", F.col("v") % 2 == 1).map("doubled", v=F.col("v") * 2).take("two", 2)
     result = f.execute()
-    assert result.success and [r["v"] for r in result.data] == [2, 6]
+    assert result.success and [r["v"] for r in result.data.collect()] == [2, 6] and result.metadata["rows"] == 2
     assert [s["name"] for s in result.metadata["stages"]] == ["odd", "doubled", "two"]
     assert f.state.keys() == ["odd", "doubled", "two"]
     with pytest.raises(ValueError):
