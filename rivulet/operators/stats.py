@@ -15,12 +15,13 @@ def nearest_ranks(df: DataFrame, value: str, percents: Sequence[float] = PERCENT
 
     Mergeable sketches give a bracket for each percentile; a second pass counts the
     values below it and orders those inside, a few in ten thousand.  No
-    task ever holds a group.  Without ``by`` there is one row, of nulls if there are no values.
+    task ever holds a group.  Nulls and NaN are left out.  A bracket without
+    the wanted rank is an error, never another value.  Without ``by`` there is one row, of nulls if there are no values.
     """
     at = [p / 100 for p in percents]
     edges = [q for x in at for q in (max(0.0, x - 2 / accuracy), min(1.0, x + 2 / accuracy))]
     keys = [f"_by{i}" for i in range(len(by))]
-    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("avg"), F.percentile_approx("_v", edges, accuracy).alias("_edges"))
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -34,14 +35,23 @@ def nearest_ranks(df: DataFrame, value: str, percents: Sequence[float] = PERCENT
         return left.join(named, same).drop(*(f"_r{k}" for k in keys))
 
     placed = beside(rows, groups.select(*keys, "_edges"))
-    low, high = (lambda i: F.col("_edges")[2 * i]), (lambda i: F.col("_edges")[2 * i + 1])
-    marks = F.array(*(F.struct(F.lit(i).alias("i"), (F.col("_v") < low(i)).alias("under"), F.col("_v").between(low(i), high(i)).alias("within")) for i in range(len(at))))
-    useful = placed.select(*keys, "_v", F.explode(F.filter(marks, lambda m: m["under"] | m["within"])).alias("m"))
-    counts = useful.groupBy(*keys, F.col("m.i").alias("i"), F.when(F.col("m.within"), F.col("_v")).alias("x")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1)
-    reached = beside(upto.where("x is not null"), groups.select(*keys, "n")).where(F.col("upto") >= F.greatest(F.ceil(F.round(wanted * F.col("n"), 9)), F.lit(1)))
-    found = reached.groupBy(*keys).agg(*(F.min(F.when(F.col("i") == i, F.col("x"))).alias(f"p{p:g}") for i, p in enumerate(percents)))
+    inside = [F.col("_v").between(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1]) for i in range(len(at))]
+    any_inside = inside[0]
+    for c in inside[1:]:
+        any_inside = any_inside | c
+    # one row for all values outside the brackets, and one per value inside
+    counts = placed.groupBy(*keys, F.when(any_inside, F.col("_v")).alias("_x")).agg(
+        F.count("*").alias("_c"), F.first("_edges").alias("_edges"), *(F.count_if(F.col("_v") < F.col("_edges")[2 * i]).alias(f"_under{i}") for i in range(len(at)))
+    )
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    hits = []
+    for i, x in enumerate(at):
+        within = F.col("_x").between(F.col("_edges")[2 * i], F.col("_edges")[2 * i + 1])
+        rank = F.greatest(F.ceil(F.round(F.lit(x) * F.sum("_c").over(whole), 9)), F.lit(1))
+        below, run = F.sum(f"_under{i}").over(whole), F.sum(F.when(within, F.col("_c")).otherwise(0)).over(upto)
+        hits += [F.when(within & (below < rank) & (below + run >= rank), F.col("_x")).alias(f"_hit{i}")]
+    found = counts.select(*keys, *hits).groupBy(*keys).agg(*(F.coalesce(F.min(f"_hit{i}"), F.when(F.count("*") > 0, F.raise_error(F.lit(f"no bracket for percentile {p:g}")).cast("double"))).alias(f"p{p:g}") for i, p in enumerate(percents)))
     summary = groups.drop("_edges")
     if not keys:
         return summary.crossJoin(F.broadcast(found))
