@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .state import cut_lineage
 
 #: Fixed values of the search: per-branch limits, decay scale (90 days) and weights.
 DENSE_LIMIT, SPARSE_LIMIT, TAG_LIMIT, BRANCH_FACTOR = 100, 100, 1000, 4
@@ -25,6 +26,8 @@ MIN_OVERLAP, MAX_OVERLAP, MAX_GAP = 20, 500, 2
 QUERY_BYTES = 8 << 20
 #: Numbers of query vectors that a task holds at once: 16 MB.
 QUERY_PASS = 2 << 20
+#: Rows of query terms that a task holds at once.
+TERM_PASS = 1 << 20
 
 
 def norm(a: Column) -> Column:
@@ -116,18 +119,81 @@ def sparse_vector(tokens: Column) -> Column:
 
 def sparse_rows(df: DataFrame, id_col: str, text_col: str, name: str = "id") -> DataFrame:
     """(id, term, tf): words of letters and digits, lower-cased, with their counts."""
-    words = F.explode(F.filter(F.split(F.lower(text_col), r"[^0-9a-zà-ÿœß]+"), lambda w: w != ""))
-    return df.select(F.col(id_col).alias(name), words.alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf"))
+    return df.select(F.col(id_col).alias(name), F.explode(words_of(F.col(text_col))).alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf"))
+
+
+def words_of(text: Column) -> Column:
+    """Words of letters and digits, lower-cased, as an array."""
+    return F.filter(F.split(F.lower(text), r"[^0-9a-zà-ÿœß]+"), lambda w: w != "")
 
 
 def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): sums of products over shared terms.  Both sides are (id, term, tf) rows.
+    """(query_id, id, score, rank): sums of products over shared terms.  documents: id, terms (an array of words; or a row per term, with tf); queries: query_id, term, tf.
 
-    The query side is broadcast if small; otherwise the join shuffles on the
-    term and AQE splits hot terms.  Products are summed before the shuffle by (query, document).
+    Query terms go to all tasks in passes of at most about ``TERM_PASS`` rows.  A task looks the
+    words of a batch up among them, adds up products by posting lists, and
+    sends each query's k best (and equal scores) of its documents on, so neither
+    common terms nor the number of documents that share one are ever shuffled.
     """
-    right = _small(queries.select("query_id", "term", F.col("tf").alias("q_tf")))
-    scored = documents.join(right, "term").groupBy("query_id", "id").agg(F.sum(F.col("tf") * F.col("q_tf")).cast("double").alias("score"))
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    if "terms" not in documents.columns:  # rows of (id, term, tf)
+        documents = documents.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+    kinds = documents.schema["id"].dataType, queries.schema["query_id"].dataType
+    arrow = [to_arrow_type(t) for t in kinds]
+    passes = max(1, math.ceil(queries.count() / TERM_PASS))
+
+    def one_pass(part: DataFrame) -> DataFrame:
+        rows = part.select("query_id", "term", F.col("tf").cast("double").alias("tf")).collect()  # TERM_PASS rows, about
+        names = sorted({r["query_id"] for r in rows})
+        vocabulary = sorted({r["term"] for r in rows})
+        place, number = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(names)}
+        term, query, tf = np.array([place[r["term"]] for r in rows], int), np.array([number[r["query_id"]] for r in rows], int), np.array([r["tf"] for r in rows])
+        order = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+        query, tf, n = query[order], tf[order], len(names)
+
+        def best(ids: list, of: np.ndarray, scores: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+            """What reaches the k-th best score of its query."""
+            order = np.lexsort((-scores, of))
+            start = np.searchsorted(of[order], np.arange(n))
+            kth = np.minimum(start + k - 1, np.append(start[1:], len(order)) - 1)
+            floor = np.where(kth >= start, scores[order[np.clip(kth, 0, max(len(order) - 1, 0))]], -np.inf) if len(order) else np.zeros(n)
+            keep = np.flatnonzero(scores >= floor[of])
+            return [ids[i] for i in keep.tolist()], of[keep], scores[keep]
+
+        def run(batches):
+            held: tuple = ([], np.zeros(0, int), np.zeros(0))
+            words = pa.array(vocabulary, pa.string())
+            for batch in batches:
+                lists = batch.column(1)
+                offsets = np.asarray(lists.offsets).astype(int)
+                at = pc.index_in(lists.values, value_set=words).fill_null(-1).to_numpy()
+                ids = batch.column(0)
+                for low in range(0, batch.num_rows, 256):
+                    high = min(low + 256, batch.num_rows)
+                    t = at[offsets[low] : offsets[high]]
+                    doc = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
+                    doc, t = doc[t >= 0], t[t >= 0]
+                    key, times = np.unique(doc * len(vocabulary) + t, return_counts=True)
+                    doc, t = np.divmod(key, max(len(vocabulary), 1))
+                    size = first[t + 1] - first[t]
+                    posting = np.repeat(first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    scores = np.bincount(np.repeat(doc, size) * n + query[posting], np.repeat(times, size) * tf[posting], (high - low) * n)
+                    hit = np.flatnonzero(scores)
+                    new = [ids[low + i].as_py() for i in (hit // n).tolist()] if len(hit) < 1000 else np.array(ids.slice(low, high - low).to_pylist(), dtype=object)[hit // n].tolist()
+                    held = best(held[0] + new, np.concatenate([held[1], hit % n]), np.concatenate([held[2], scores[hit]]))
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in held[1].tolist()], arrow[1]), pa.array(held[0], arrow[0]), pa.array(held[2])], ["query_id", "id", "score"])
+
+        return documents.select("id", "terms").where("terms is not null").mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
+
+    scored = None
+    for i in range(passes):
+        part = one_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else queries)
+        scored = part if scored is None else scored.unionByName(part)
     return ranked(scored, k, ["query_id"])
 
 
@@ -227,8 +293,10 @@ def fuse(branches: Sequence[DataFrame], k: int, method: str = "rrf") -> DataFram
 
 def tag_branch(documents: DataFrame, tags: Sequence[str], queries: DataFrame, k: int = TAG_LIMIT) -> DataFrame:
     """Documents with any of the tags, at a base score of 1 (our choice: there is no query vector to score by)."""
-    hits = documents.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))).select("id").crossJoin(_small(queries.select("query_id"))).withColumn("score", F.lit(1.0))
-    return ranked(hits, k, ["query_id"])
+    # scores are equal, so the same first k documents serve every query
+    first = documents.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags)))).select("id").orderBy("id").limit(k)
+    placed = first.withColumn("rank", F.row_number().over(Window.orderBy("id")))  # k rows
+    return queries.select("query_id").crossJoin(F.broadcast(placed)).select("query_id", "id", F.lit(1.0).alias("score"), "rank")
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame | None, tagged: DataFrame | None, limit: int, method: str = "rrf") -> DataFrame:
@@ -245,9 +313,8 @@ def hybrid(dense: DataFrame, sparse: DataFrame | None, tagged: DataFrame | None,
 
 def lexical_score(query: Column, document: Column) -> Column:
     """Our default reranker: the share of the query's distinct words that the document holds."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^0-9a-zà-ÿœß]+"), lambda w: w != ""))
-    q = words(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(document))) / F.size(q)).otherwise(0.0)
+    q = F.array_distinct(words_of(query))
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.array_distinct(words_of(document)))) / F.size(q)).otherwise(0.0)
 
 
 def rerank(hits: DataFrame, query: Column, document: Column, top: int, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
@@ -301,7 +368,7 @@ def merge_consecutive(hits: DataFrame, gap: int = MAX_GAP, per: Sequence[str] =
 
     def weighted(done: Column, part: Column) -> Column:
         a, b = F.length(done["content"]), F.length(part["content"])
-        return F.when(a + b > 0, (done["score"] * a + part["score"] * b) / (a + b)).otherwise(done["score"])
+        return F.when(a + b > 0, (done["score"] * a + part["score"] * b) / (a + b)).otherwise((done["score"] + part["score"]) / 2)
 
     merged = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, step)
     out = rows.withColumn("_m", merged)
@@ -322,6 +389,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
     vectors: id, vector, content, source, idx, tags, modified; queries: query_id, query_vector, query_text.
     Without a reranker up to 4 * limit unmerged rows a query come back.
     """
+    vectors = cut_lineage(vectors)  # read by every branch: embedded once
     attributes = vectors.drop("vector")
     boost = boosted(F.col("score"), F.col("modified"), F.col("tags"), now, tags, window)
 
@@ -332,7 +400,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
     sparse = tagged = None
     if texts is not None:
         words = sparse_rows(queries, "query_id", "query_text", "query_id")
-        sparse = raised(sparse_topk(sparse_rows(texts, "id", "content"), words, 2 * SPARSE_LIMIT), SPARSE_LIMIT)
+        sparse = raised(sparse_topk(texts.select("id", words_of(F.col("content")).alias("terms")), words, 2 * SPARSE_LIMIT), SPARSE_LIMIT)
     if tags:
         tagged = raised(tag_branch(vectors, tags, queries, 2 * TAG_LIMIT), TAG_LIMIT)
     hits = hybrid(branches[0], sparse, tagged, limit, method)
@@ -347,16 +415,6 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
 # -- embedding ------------------------------------------------------------------------------------
 
 
-def hashed_embedding(text: Column, dims: int = 64) -> Column:
-    """Our offline default: words hashed with signs into ``dims`` numbers, at unit length (zeros for no words)."""
-    words = F.filter(F.split(F.lower(text), r"[^0-9a-zà-ÿœß]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    cell = lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == i, F.when(F.shiftrightunsigned(h, 63) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), cell)
-    size = norm(raw)
-    return F.when(size > 0, F.transform(raw, lambda v: v / size)).otherwise(raw)
-
-
 def embed(df: DataFrame, text: str, dims: int = 64, name: str = "vector") -> DataFrame:
     """Hashed embeddings by Arrow batches (one pass over each text); a model's embedder has the same shape."""
     import numpy as np
