@@ -51,10 +51,10 @@ def _glob(pattern: str) -> str:
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.md", skip_bad: bool = False) -> DataFrame:
     """(content, source) of whole text files; ``skip_bad`` leaves out missing and unreadable ones."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if skip_bad:
         reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    return reader.text(path).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("source"))
+    return reader.text(path, wholetext=True).select(F.col("value").alias("content"), F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("source"))  # paths come percent-encoded
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
