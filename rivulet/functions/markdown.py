@@ -165,9 +165,8 @@ def recursive_split(text: str, size: int, overlap: int, separators: Sequence[str
     return out
 
 
-def smart_split(text: str, most: int = 1000, overlap: int = 100, least: int = 0) -> list[str]:
-    """Markdown-aware pieces of up to twice ``most``; those beyond ``most`` are cut again, with overlap.  ``least`` has no effect."""
-    del least
+def smart_split(text: str, most: int = 1000, overlap: int = 100) -> list[str]:
+    """Markdown-aware pieces of up to twice ``most``; those beyond ``most`` are cut again, with overlap."""
     out: list[str] = []
     for piece in recursive_split(text, 2 * most, 0, MARKDOWN_SEPARATORS):
         out += recursive_split(piece, most, overlap, TEXT_SEPARATORS) if len(piece) > most else [piece]
