@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import markdown, text
 from ..operators import errors, flow, order, retrieval, running, stats, windows
 from ..operators.flow import Flow
+from ..operators.state import shared_folder
 from ..sources import corpus, sinks
 from ..streaming import streams
 
@@ -353,9 +354,15 @@ def percentiles_exact(spark, d):
     return stats.timing_stats(_t(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]).withColumn("avg", _rounded("avg", 4))
 
 
-@query()
+@query("SELECT l_returnflag, count(*) AS n, true AS close FROM lineitem GROUP BY 1")
 def percentiles_approx(spark, d):
-    return stats.sketch_percentiles(_t(spark, d, "lineitem"), "l_extendedprice", by=["l_returnflag"])
+    """The sketch's percentiles, and whether each has a rank within a thousandth of the asked one."""
+    lines = _t(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    found = stats.sketch_percentiles(lines, "l_extendedprice", by=["l_returnflag"])
+    both = lines.join(F.broadcast(found), "l_returnflag")  # a row per flag
+    share = lambda p: F.count_if(F.col("l_extendedprice") <= F.col(f"p{p}")) / F.count("*") - p / 100
+    close = [F.abs(share(p)) <= 0.001 for p in stats.PERCENTILES]
+    return both.groupBy("l_returnflag").agg(F.first("n").alias("n"), (close[0] & close[1] & close[2]).alias("close"))
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (c_acctbal > 0) AS active, round(avg(c_acctbal) + 1e-9, 4) AS avg_value, count(*) FILTER (c_mktsegment = 'BUILDING') AS building FROM customer""")
@@ -551,10 +558,13 @@ def rerank_documents(spark, d):
     return v.select("doc_id", text.rerank_document(F.col("path"), F.date_format("modified", "yyyy-MM-dd"), F.col("tags"), F.col("content")).alias("document"))
 
 
-@query("""SELECT conv_id, (sum(4 + ceil(length(coalesce(text, '')) / 4.0)) + 3)::BIGINT AS estimated_tokens, CASE WHEN (sum(4 + ceil(length(coalesce(text, '')) / 4.0)) + 3) * 4 < 1024 THEN ((sum(4 + ceil(length(coalesce(text, '')) / 4.0)) + 3) * 4)::BIGINT::VARCHAR || 'B' ELSE NULL END AS small_size FROM conversations GROUP BY 1""")
+@query("""WITH t AS (SELECT conv_id, (sum(4 + ceil(length(coalesce(text, '')) / 4.0)) + 3)::BIGINT AS estimated_tokens FROM conversations GROUP BY 1)
+SELECT conv_id, estimated_tokens, CASE WHEN estimated_tokens * 4 < 1024 THEN (estimated_tokens * 4)::VARCHAR || 'B' WHEN estimated_tokens * 4 < 1048576 THEN printf('%.1fKB', floor(estimated_tokens * 4 / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.2fMB', floor(estimated_tokens * 4 / 1048576.0 * 100 + 0.5) / 100) END AS size,
+  printf('%.2fMB', floor(estimated_tokens * 4000 / 1048576.0 * 100 + 0.5) / 100) AS thousandfold FROM t""")
 def token_estimate(spark, d):
     out = text.conversation_tokens(_t(spark, d, "conversations"), "conv_id", "text")
-    return out.select("conv_id", "estimated_tokens", F.when(F.col("estimated_tokens") * 4 < 1024, text.byte_size("estimated_tokens")).alias("small_size"))
+    large = F.col("estimated_tokens") * 1000
+    return out.select("conv_id", "estimated_tokens", text.byte_size("estimated_tokens").alias("size"), F.when(large * 4 >= 1024 * 1024, text.byte_size(large)).otherwise(F.format_string("%.2fMB", large * 4 / F.lit(1048576.0))).alias("thousandfold"))
 
 
 @query("SELECT c_custkey, lower(regexp_extract(c_name, '^([A-Za-z]*)', 1)) AS word, CASE WHEN c_nationkey < 8 THEN 'low' WHEN c_nationkey < 16 THEN 'medium' ELSE 'high' END AS nation_class, CASE WHEN age < 30 THEN 'young' WHEN age < 60 THEN 'adult' ELSE 'senior' END AS age_class, 'mail.example' || (c_nationkey % 3)::VARCHAR AS domain FROM (SELECT *, 18 + c_custkey % 70 AS age FROM customer)")
@@ -627,7 +637,7 @@ _SPARSE_SQL = f"{_TERMS_SQL}, sp AS (SELECT q.doc_id AS query_id, c.doc_id AS id
 
 def _sparse(spark, d, k):
     docs = _t(spark, d, "documents")
-    rows = retrieval.sparse_rows(docs, "doc_id", "text")
+    rows = docs.select(F.col("doc_id").alias("id"), retrieval.words_of(F.col("text")).alias("terms"))
     return retrieval.sparse_topk(rows, retrieval.sparse_rows(docs.where("doc_id % 50 = 0"), "doc_id", "text", "query_id"), k)
 
 
@@ -741,6 +751,287 @@ def stream_batches(spark, d):
     return streams.to_memory(out, _sink("batches")).groupBy("user_id").agg(F.count("*").alias("batches"))
 
 
+# -- sources, sinks and whole results -----------------------------------------------------------------
+
+
+def _some(spark, d) -> Flow:
+    return Flow.start(_t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), ["n_nationkey"])
+
+
+@query("SELECT i AS _ord, i::INTEGER + 1 AS v, (i::INTEGER + 1) * (i::INTEGER + 1) AS square FROM range(10) t(i)")
+def rows_in_order(spark, d):
+    return corpus.from_rows(spark, range(1, 11), "v int").withColumn("square", F.col("v") * F.col("v"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS at FROM nation")
+def sink_for_each(spark, d):
+    """Rows as a driver function gets them, with their index."""
+    got: list = []
+    _some(spark, d).for_each(lambda row, i: got.append((*row, i)))
+    return spark.createDataFrame(got, "n_nationkey int, n_name string, n_regionkey int, at long")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_nationkey DESC LIMIT 7")
+def sink_to_array(spark, d):
+    f = Flow.start(_some(spark, d).df, [F.desc("n_nationkey")]).take("seven", 7)
+    return spark.createDataFrame(f.to_array(), "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT event_id, value * 2 AS twice, true AS success, (SELECT count(*) FROM events WHERE value > 100) AS n FROM events WHERE value > 100")
+def sink_execute(spark, d):
+    result = Flow.start(_t(spark, d, "events"), ["event_id"]).filter("large", F.col("value") > 100).select("twice", "event_id", (F.col("value") * 2).alias("twice")).execute()
+    return result.data.select("event_id", "twice", F.lit(result.success).alias("success"), F.lit(result.metadata["rows"]).cast("long").alias("n"))
+
+
+@query("""SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total, (SELECT string_agg(n_name, '>' ORDER BY n_nationkey) FROM nation) AS chain FROM nation""")
+def sink_reduce(spark, d):
+    """An algebraic fold, and one that depends on the order."""
+    f = _some(spark, d)
+    sums = f.reduce(F.count("*").alias("n"), F.sum("n_nationkey").alias("total"))
+    chain = f.fold(F.lit(""), lambda done, row: F.when(done == "", row["n_name"]).otherwise(F.concat(done, F.lit(">"), row["n_name"])), ["n_name"])
+    return spark.createDataFrame([(sums["n"], sums["total"], chain)], "n long, total long, chain string")
+
+
+@query("SELECT n_name AS answer, n_regionkey AS usage FROM nation")
+def sink_answer(spark, d):
+    return sinks.answer_output(_some(spark, d).df, "n_name", "n_regionkey")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_table(spark, d):
+    """Written by region, and read back."""
+    path = _folder(spark, "table")
+    sinks.write_table(_some(spark, d).df, path, ["n_regionkey"])
+    return spark.read.parquet(path).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY 1")
+def compose_hybrid(spark, d):
+    """Right to left; a step that has a body of its own for static frames; a tap lets rows pass."""
+    static = flow.hybrid(lambda df: df.groupBy("n_regionkey").agg(F.count("*").alias("n")), lambda df: df)
+    f = _some(spark, d).tap("seen", rows=F.count("*")).add("counted", flow.compose(static, flow.lift_filter(F.col("n_nationkey") > 3)))
+    return f.build()
+
+
+@query("SELECT name, ok FROM (VALUES ('size 0', true), ('size -1', true), ('slide 0', true), ('buffer 0 s', true), ('page 0', true), ('skip -1', true)) t(name, ok)")
+def invalid_sizes(spark, d):
+    """Sizes that must be refused, and whether they were."""
+    e = _t(spark, d, "events")
+    calls = {
+        "size 0": lambda: windows.batch(e, 0, ["event_id"]),
+        "size -1": lambda: windows.count_window(e, -1, None, ["event_id"]),
+        "slide 0": lambda: windows.count_window(e, 3, 0, ["event_id"]),
+        "buffer 0 s": lambda: windows.buffer_time(e, 0, "ts", ["event_id"]),
+        "page 0": lambda: order.page(e, 0, 0, ["event_id"]),
+        "skip -1": lambda: order.skip(e, -1, ["event_id"]),
+    }
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(call)) for name, call in calls.items()], "name string, ok boolean")
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{_sink(name)}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def _notes(spark, d) -> str:
+    """The five regions as Markdown files in folders, beside a file of another kind."""
+    root, jvm = _folder(spark, "notes"), spark.sparkContext._jvm
+    for r in _t(spark, d, "region").collect():  # five rows
+        for name in (f"a/r{r['r_regionkey']}/{r['r_name']}.md", f"a/{r['r_name']}.txt"):
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+            out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+            out.write(bytearray(f"# {r['r_name']}\nline {r['r_regionkey']}\n".encode()))
+            out.close()
+    return root
+
+
+@query("SELECT 'a/r' || r_regionkey::VARCHAR || '/' || r_name || '.md' AS file, r_name || '.md' AS name FROM region")
+def discover_files(spark, d):
+    root = _notes(spark, d)
+    return corpus.discover_files(spark, root).select(F.substring("path", len(root) + 2, 10_000).alias("file"), "name")
+
+
+@query("SELECT r_name || '.md' AS name, '# ' || r_name || chr(10) || 'line ' || r_regionkey::VARCHAR || chr(10) AS content FROM region")
+def read_files(spark, d):
+    return corpus.read_files(spark, _notes(spark, d), skip_bad=True).select(text.base_name("source").alias("name"), "content")
+
+
+@query("SELECT r_name AS name, '# ' || r_name || chr(10) || 'line ' || r_regionkey::VARCHAR || chr(10) AS content FROM region WHERE r_regionkey = 1")
+def read_one_file(spark, d):
+    name = _t(spark, d, "region").where("r_regionkey = 1").first()["r_name"]
+    return corpus.read_file(spark, f"{_notes(spark, d)}/a/r1/{name}.md").select(F.lit(name).alias("name"), "content")
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def extract_files(spark, d):
+    """Rows of an array of files, as a form upload gives them."""
+    uploads = _some(spark, d).df.groupBy("n_regionkey").agg(F.collect_list(F.struct("n_regionkey", "n_nationkey", "n_name")).alias("files"))
+    return corpus.extract_files(uploads)
+
+
+@query(f"WITH {_VAULT_SQL} SELECT path FROM vault WHERE path LIKE 'en/%'")
+def list_files(spark, d):
+    return corpus.list_files(_vault(spark, d), "en").select("path")
+
+
+@query(f"WITH {_VAULT_SQL}, one AS (SELECT path, content FROM vault WHERE doc_id = (SELECT min(doc_id) FROM documents)) SELECT 'success' AS status, path, content FROM one UNION ALL VALUES ('not_found', 'no/such.md', NULL), ('invalid_path', '../x.md', NULL), ('invalid_path', '/x.md', NULL)")
+def file_read(spark, d):
+    v = _vault(spark, d)
+    first = v.orderBy("doc_id").select("path").first()["path"]
+    out = []
+    for path in (first, "no/such.md", "../x.md", "/x.md"):
+        got = corpus.file_at(v.select("path", "content"), path)
+        out.append((got["status"], path, got["row"] and got["row"]["content"]))
+    return spark.createDataFrame(out, "status string, path string, content string")
+
+
+@query("""WITH p AS (SELECT p_partkey, length(to_json({p_partkey: p_partkey, p_name: p_name})) + 1 AS n, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+u AS (SELECT *, sum(n) OVER (ORDER BY i) + 1 AS upto, (SELECT count(*) FROM part) AS total FROM p),
+k AS (SELECT greatest(20, total // pow(2, s)::BIGINT) AS k FROM (SELECT DISTINCT total FROM u), range(30) t(s)),
+fit AS (SELECT max(k) AS k FROM k WHERE k = 20 OR (SELECT upto FROM u WHERE i = k) <= 4096)
+SELECT p_partkey FROM u WHERE i <= (SELECT k FROM fit)""")
+def halved_answer(spark, d):
+    return order.halve_to_bytes(_t(spark, d, "part").select("p_partkey", "p_name"), ["p_partkey"], 4096, 20).select("p_partkey")
+
+
+@query(f"""WITH {_PARSED_SQL}, bad AS (SELECT event_id, k FROM p WHERE NOT coalesce(k % 7 <> 0, false))
+SELECT 'fail_fast' AS strategy, 'STREAM_ERROR' AS code, 'Failed on ' || (SELECT k FROM bad ORDER BY event_id LIMIT 1)::VARCHAR AS message, false AS retryable, (SELECT min(event_id) FROM bad) AS first_index, (SELECT count(*) FROM bad) AS failed
+UNION ALL SELECT 'collect_errors', 'LIST_PROCESSING_ERRORS', (SELECT count(*) FROM bad)::VARCHAR || ' of ' || (SELECT count(*) FROM p)::VARCHAR || ' items failed', false, (SELECT min(event_id) FROM bad), (SELECT count(*) FROM bad)""")
+def error_strategies(spark, d):
+    """What the strategies that fail as a whole raise."""
+    out = []
+    for strategy in (errors.Strategy.FAIL_FAST, errors.Strategy.COLLECT_ERRORS):
+        try:
+            errors.resolve(_parsed(spark, d), strategy)
+        except errors.ProcessingError as e:
+            out.append((strategy.value, e.code, str(e), e.retryable, e.errors[0][0], e.total))
+    return spark.createDataFrame(out, "strategy string, code string, message string, retryable boolean, first_index long, failed long")
+
+
+@query("SELECT 'found' AS name, true AS success, NULL AS code, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS n UNION ALL VALUES ('missing', false, 'NOT_FOUND', 0), ('misfit', false, 'INVALID_INPUT', 0)")
+def tool_lookup(spark, d):
+    """Flows looked up by name, with what is answered where there is none or the input doesn't fit."""
+    registry = flow.Registry()
+    asked = T.StructType([T.StructField("n_regionkey", T.IntegerType())])
+    registry.register("found", lambda df: df.where("n_regionkey = 1"), asked, tags=["nations"])
+    registry.register("misfit", lambda df: df, T.StructType([T.StructField("no_such", T.LongType())]))
+    out = []
+    for name in ("found", "missing", "misfit"):
+        r = registry.execute(name, _some(spark, d).df)
+        out.append((name, r.success, r.error and r.error["code"], r.data.count() if r.success else 0))
+    return spark.createDataFrame(out, "name string, success boolean, code string, n long")
+
+
+# -- texts and retrieval, on inputs whose results SQL can tell ---------------------------------------------
+
+
+@query("""SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || p_type || ' and ' || p_brand || ' or gone `**code**` [l](a_b_c)' || chr(10) || chr(10) || '## Kept' || chr(10) || chr(10) || 'last words' AS content, [p_brand, 'x y'] AS tags, p_brand || ', x y' AS raw FROM part""")
+def clean_markdown(spark, d):
+    """Front matter, removed sections and emphasis around plain texts."""
+    p = _t(spark, d, "part")
+    page = F.concat(F.lit("---\ntags: "), "p_brand", F.lit(", x y\nother: [1, 2]\n---\n# "), "p_name", F.lit("\n\n**"), "p_type", F.lit("** and _"), "p_brand", F.lit("_ or ~~gone~~ `**code**` [l](a_b_c)\n\n## Task\n\n- [ ] gone\n\n### Deeper\n\ngone\n\n## Kept\n\nlast words\n"))
+    out = markdown.clean_documents(p.select("p_partkey", page.alias("page")), "page")
+    return out.select("p_partkey", "content", "tags", F.col("frontmatter")["tags"].alias("raw"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_size * 100 + p_partkey % 100 AS n FROM part),
+b AS (SELECT p_partkey, k * 2000 AS start, least(2000, n - k * 2000) AS len FROM t, range(3) r(k) WHERE k * 2000 < n),
+c AS (SELECT p_partkey, start, start + j * 900 AS first, least(1000, len - j * 900) AS size FROM b, range(3) r(j) WHERE j = 0 OR (len > 1000 AND j * 900 + 100 < len))
+SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY start, first) - 1) AS chunk_idx, size::BIGINT AS length, substr(repeat('0123456789', 600), first::INTEGER + 1, size::INTEGER) AS chunk FROM c""")
+def split_markdown(spark, d):
+    """Texts without a separator: pieces of 2,000, cut again into 1,000 with an overlap of 100."""
+    size = F.col("p_size") * 100 + F.pmod("p_partkey", F.lit(100)).cast("int")
+    texts = _t(spark, d, "part").select("p_partkey", F.substring(F.repeat(F.lit("0123456789"), 600), F.lit(1), size).alias("content"))
+    return markdown.split_documents(texts, "content", "p_partkey").select("p_partkey", "chunk_idx", "length", "chunk")
+
+
+@query("""WITH c AS (SELECT c_custkey, string_agg(md5(c_custkey::VARCHAR || '-' || i::VARCHAR), '' ORDER BY i) AS content FROM customer, range(9) t(i) GROUP BY 1)
+SELECT c_custkey AS source, 1 AS first_idx, 5 AS last_idx, 5::BIGINT AS merged_count, left(content, 280) AS content, 0.5::DOUBLE AS score FROM c
+UNION ALL SELECT c_custkey, 9, 11, 2, substr(content, 201, 40) || ' ' || substr(content, 249, 40), 0.5 FROM c""")
+def merge_runs(spark, d):
+    """Two runs a source: five chunks of 80 with overlaps of 30, and two without one, two apart."""
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.md5(F.concat(F.col("c_custkey").cast("string"), F.lit("-"), i.cast("string")))), "")
+    texts = _t(spark, d, "customer").select(F.col("c_custkey").alias("source"), whole.alias("t"))
+    cut = lambda idx, start, size: F.struct(F.lit(idx).alias("idx"), F.substring("t", start, size).alias("content"))
+    chunks = texts.select("source", F.inline(F.array(*(cut(1 + k, 1 + 50 * k, 80) for k in range(5)), cut(9, 201, 40), cut(11, 249, 40))))
+    hits = chunks.withColumn("id", F.concat_ws("#", "source", "idx")).withColumn("score", F.lit(0.5))
+    return retrieval.merge_consecutive(hits).select("source", "first_idx", "last_idx", "merged_count", "content", F.round("score", 9).alias("score"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^0-9a-zà-ÿœß]+'), lambda x: x <> '')) AS w FROM documents)
+SELECT q.doc_id AS query_id, c.doc_id AS id, 1::INTEGER AS rank, 1.0::DOUBLE AS vector_score, round(CASE WHEN len(q.w) > 0 THEN len(list_intersect(q.w, c.w)) / len(q.w)::DOUBLE ELSE 0 END, 9) AS score
+FROM w q JOIN w c ON c.doc_id = q.doc_id + 1""")
+def rerank_lexical(spark, d):
+    """Each text as a query that its successor answers."""
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    hits = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("q")).join(docs.select((F.col("doc_id") - 1).alias("query_id"), F.col("doc_id").alias("id"), F.col("text").alias("body")), "query_id").withColumn("score", F.lit(1.0))
+    out = retrieval.rerank(hits.withColumn("rank", F.lit(1)), F.col("q"), F.col("body"), 5)
+    return out.select("query_id", "id", "rank", "vector_score", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_VAULT_SQL}, h AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id)::INTEGER AS rank FROM vault WHERE list_has_any(tags, ['de', 'short'])) SELECT q.doc_id AS query_id, id, rank, 1.0::DOUBLE AS score FROM h, documents q WHERE rank <= 25 AND q.doc_id % 50 = 0")
+def tag_prefilter(spark, d):
+    v = _vault(spark, d)
+    return retrieval.tag_branch(v.select(F.col("doc_id").alias("id"), "tags"), ["de", "short"], v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id")), 25).select("query_id", "id", "rank", "score")
+
+
+@query("SELECT query_id, index, name, score FROM (SELECT n_regionkey AS query_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS index, n_name AS name, 1.0::DOUBLE / (1 + n_nationkey) AS score FROM nation) WHERE index < 3")
+def rank_to_hit(spark, d):
+    """Positions that a reranker answers with, back to their hits; those that no hit has vanish."""
+    n = order.with_position(_some(spark, d).df, ["n_nationkey"], "index", ["n_regionkey"]).select(F.col("n_regionkey").alias("query_id"), "index", F.col("n_name").alias("name"), F.lit(0.0).alias("score"), "n_nationkey")
+    ranks = n.where("index < 3").select("query_id", "index", (1.0 / (1 + F.col("n_nationkey"))).alias("score"))
+    ranks = ranks.union(ranks.select("query_id", F.col("index") + 1000, "score"))
+    return retrieval.zip_by_rank(n.drop("n_nationkey"), ranks).select("query_id", "index", "name", "score")
+
+
+@query("SELECT p_partkey, '<Instruct>: Find parts. Current date: 2024-03-01' || chr(10) || '<Query>: ' || p_brand AS query, '<Document>: ' || p_name AS document FROM part")
+def instructed(spark, d):
+    q, doc = text.instruction("Find parts.", retrieval.today(NOW), F.col("p_brand"), F.col("p_name"))
+    return _t(spark, d, "part").select("p_partkey", q.alias("query"), doc.alias("document"))
+
+
+@query("SELECT p_partkey, [length(p_name)::DOUBLE, 1.0::DOUBLE] AS vector FROM part")
+def embed_in_batches(spark, d):
+    """An embedder that gets 50 texts at a time."""
+    return retrieval.embed_batches(_t(spark, d, "part").select("p_partkey", "p_name"), "p_name", lambda texts: [[float(len(t)), float(len(texts) <= 50)] for t in texts]).select("p_partkey", "vector")
+
+
+@query("""WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_partkey, w, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT p_partkey, count(*) AS terms, sum(n)::DOUBLE AS total, max(n)::DOUBLE AS largest, true AS rising FROM c GROUP BY 1""")
+def sparse_vectors(spark, d):
+    v = _t(spark, d, "part").select("p_partkey", retrieval.sparse_vector(F.split("p_name", " ")).alias("v"))
+    return v.select("p_partkey", F.size("v.indices").cast("long").alias("terms"), F.aggregate("v.values", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("v.values").alias("largest"), (F.array_sort("v.indices") == F.col("v.indices")).alias("rising"))
+
+
+@query("""SELECT * FROM (VALUES ('both', TIMESTAMP '2024-01-16', 1296000::BIGINT), ('start only', TIMESTAMP '2024-01-31', 2592000), ('end only', TIMESTAMP '2020-01-16', 1296000),
+('last_7_days', TIMESTAMP '2024-02-26 12:00:00', 302400), ('last_14_days', TIMESTAMP '2024-02-23 00:00:00', 604800), ('this_week', TIMESTAMP '2024-02-28 00:00:00', 172800), ('this_month', NULL, NULL)) t(name, target, scale)""")
+def date_windows(spark, d):
+    """Decay windows of given dates and of named ranges; a range that has not begun is none."""
+    asked = {"both": ("2024-01-01", "2024-01-31"), "start only": ("2024-01-01", None), "end only": (None, "2020-01-31")}
+    out = []
+    for name, (start, end) in asked.items():
+        w = retrieval.date_range(start, end, NOW)
+        out.append((name, w["target"].replace(tzinfo=None), w["scale"]))
+    for name in ("last_7_days", "last_14_days", "this_week", "this_month"):
+        try:
+            w = retrieval.decay_window(*retrieval.preset_range(name, NOW))
+            out.append((name, w["target"].replace(tzinfo=None), w["scale"]))
+        except ValueError:
+            out.append((name, None, None))
+    return spark.createDataFrame(out, "name string, target timestamp_ntz, scale long")
+
+
 # -- logs and outputs ------------------------------------------------------------------------------------------
 
 
