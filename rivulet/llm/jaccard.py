@@ -14,7 +14,7 @@ fewer words is one gram).  Two documents link when 100 * |x & y| >= 80 * |x | y|
 4. Round one compares each member of a list with the list's most central class
    only, which is linear in the list, and links are contracted to components.
    Round two compares the members that are still apart, in pairs of blocks of at most
-   about a thousand members, so a long list is dealt over many tasks.  In both rounds a parity filter
+   256 members, so a long list is dealt over many tasks.  In both rounds a parity filter
    comes before sets are fetched: the Hamming distance of parity vectors never exceeds the symmetric
    difference.  All filters are exact, so no link is lost, and no pair inside a
    component is made.
@@ -46,7 +46,7 @@ _SKETCH_CHUNKS = 16
 FILTER_BITS = 24
 PARITY_WORDS = 16
 #: Members of a list that are compared in one task: longer lists are dealt by pairs of blocks of this size.
-_BLOCK = 1024
+_BLOCK = 256
 #: Parts that the lists of very common grams, and the totals of any list, are dealt by.
 PARTS = 64
 #: Rank (see _ranks) from which a gram's list is dealt by parts: 64 times the mean count of a sketch bucket.
