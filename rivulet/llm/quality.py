@@ -8,10 +8,10 @@ damped and normalised length.  A document is the mean, spread and neighbour
 similarity of its tokens' vectors.  The network is fitted on a bounded sample of labelled rows
 (samples.SAMPLE_ROWS), its temperature on out-of-fold logits of these.
 
-There are at most ``ROWS`` x ``DIMS`` sums (67 MB as floats), however many words a
-corpus has; a million words make four share a row.  Tasks send the sums of the rows they
-met, which are added up by ranges of rows as they stream; only rows that occur come to the
-driver and go to the tasks.  Then one pass scores all texts.
+There are at most ``ROWS`` x ``DIMS`` sums (67 MB as floats, 34 MB as they are broadcast),
+however many words a corpus has; a million words make four share a row.  Tasks send the
+sums that are not zero, which are added up by ranges of rows as they stream; only rows that
+occur come to the driver and go to the tasks.  Then one pass scores all texts.
 
 Defined results: a null or empty text has the score of a document without
 tokens; without any labelled row, or with one label only, every score is the mean label
@@ -21,11 +21,14 @@ and null ids give a row each; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -39,6 +42,7 @@ NEIGHBOURS = 2
 #: Rows of the vocabulary that are added up together.
 RANGE = 4096
 SHAPES = 4
+_STEP = np.float32(1 / 32767)
 #: Texts that are pooled together: their tokens' vectors stay in the processor's cache.
 _POOL_BYTES = 1 << 16
 
@@ -79,9 +83,19 @@ class Vectors:
         self.place = np.zeros(ROWS, dtype=np.int32)
         self.place[rows] = np.arange(1, len(rows) + 1)
         self.vectors = np.vstack([np.zeros((1, DIMS), np.float32), vectors.astype(np.float32)])
+        self._sent = None
 
     def __getitem__(self, words: np.ndarray) -> np.ndarray:
-        return self.vectors[self.place[words]]
+        found = self.vectors[self.place[words]]
+        return found if found.dtype == np.float32 else found.astype(np.float32) * _STEP
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """What tasks read them from, made once: components in steps of 1 / 32767, two bytes each."""
+        if self._sent is None:
+            small = copy.copy(self)
+            small.vectors = np.rint(self.vectors / _STEP).astype(np.int16)
+            self._sent = spark.sparkContext.broadcast(small)
+        return self._sent
 
 
 def word_vectors(docs: DataFrame) -> Vectors:
@@ -98,25 +112,25 @@ def word_vectors(docs: DataFrame) -> Vectors:
                     for places, signs in zip(_PLACES, _SIGNS):
                         np.add.at(total, left * DIMS + places[right], signs[right])
                         np.add.at(total, right * DIMS + places[left], signs[left])
-        total = total.reshape(ROWS, DIMS)
-        used = np.flatnonzero(total.any(axis=1))
-        for part in np.split(used, np.searchsorted(used, np.arange(RANGE, ROWS, RANGE))):
-            if len(part):
-                yield pa.RecordBatch.from_arrays([pa.array([part[0] // RANGE], pa.int32()), pa.array([part.astype(np.int32).tobytes()]), pa.array([total[part].tobytes()])], ["range", "words", "sums"])
+        # a rare word has a few sums only: places and values of those that are not zero
+        for k, part in enumerate(np.split(total, ROWS // RANGE)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([zlib.compress(v.astype(np.int32).tobytes(), 1)]) for v in (np.diff(at, prepend=0), part[at]))], ["range", "steps", "sums"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, words, sums in zip(*batch.columns):
-                words = np.frombuffer(words.as_buffer(), np.int32) % RANGE
-                total.setdefault(k.as_py(), np.zeros((RANGE, DIMS), np.int64))[words] += np.frombuffer(sums.as_buffer(), np.int32).reshape(-1, DIMS)
+            for k, steps, sums in zip(*batch.columns):
+                steps, sums = (np.frombuffer(zlib.decompress(v.as_buffer()), np.int32) for v in (steps, sums))
+                total.setdefault(k.as_py(), np.zeros((RANGE, DIMS), np.int64)).ravel()[np.cumsum(steps)] += sums
         for k, sums in total.items():
             damped = np.sign(sums) * np.sqrt(np.abs(sums))
             used = np.flatnonzero(sums.any(axis=1))
             unit = (damped[used] / np.linalg.norm(damped[used], axis=1, keepdims=True)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([(used + k * RANGE).astype(np.int32).tobytes()]), pa.array([unit.tobytes()])], ["words", "vectors"])
 
-    parts = docs.select("text").mapInArrow(count, "range int, words binary, sums binary")
+    parts = docs.select("text").mapInArrow(count, "range int, steps binary, sums binary")
     got = parts.repartition(16, "range").mapInArrow(add, "words binary, vectors binary").collect()  # at most ROWS vectors
     rows = np.concatenate([np.frombuffer(r["words"], np.int32) for r in got]) if got else np.zeros(0, np.int32)
     vectors = np.concatenate([np.frombuffer(r["vectors"], np.float32).reshape(-1, DIMS) for r in got]) if got else np.zeros((0, DIMS))
@@ -152,9 +166,11 @@ def pooled(column: pa.Array, vectors: Vectors) -> Iterator[tuple[int, int, np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, vectors: Vectors, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    sent = vectors.sent(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
-            for low, high, x in pooled(batch.column(1), vectors):
+            for low, high, x in pooled(batch.column(1), sent.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], ["y", "x"])
 
     sample = labelled_texts(docs, labels, label_col, id_col, text_col).select("y", "text")
@@ -169,9 +185,11 @@ def score(docs: DataFrame, model: dict, vectors: Vectors, id_col: str = "doc_id"
     """One row per row of ``docs``: id, score."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    sent = vectors.sent(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
-            for low, high, x in pooled(batch.column(1), vectors):
+            for low, high, x in pooled(batch.column(1), sent.value):
                 p = np.full(len(x), model["constant"]) if "constant" in model else learn.network_scores(model, x)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.clip(p, 0.0, 1.0))], ["id", "score"])
 
