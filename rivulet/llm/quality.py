@@ -8,7 +8,7 @@ damped and normalised length.  A document is the mean, spread and neighbour
 similarity of its tokens' vectors.  The network is fitted on a bounded sample of labelled rows
 (samples.SAMPLE_ROWS), its temperature on out-of-fold logits of these.
 
-There are at most ``ROWS`` x ``DIMS`` sums (67 MB as floats, 34 MB as they are broadcast),
+There are at most ``ROWS`` x ``DIMS`` sums (34 MB as floats, 17 MB as they are broadcast),
 however many words a corpus has; a million words make four share a row.  Tasks send the
 sums that are not zero, which are added up by ranges of rows as they stream; only rows that
 occur come to the driver and go to the tasks.  Then one pass scores all texts.
@@ -37,7 +37,7 @@ from .samples import labelled_texts
 
 HASH_BITS = 18
 ROWS = 1 << HASH_BITS
-DIMS = 64
+DIMS = 32
 NEIGHBOURS = 2
 #: Rows of the vocabulary that are added up together.
 RANGE = 4096
