@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import os
 from collections.abc import Sequence
 
@@ -148,6 +149,23 @@ def nested_tree(files: DataFrame, folder: str | None = None, with_names: bool =
     return root
 
 
+def tree_answer(files: DataFrame, folder: str | None = None) -> dict:
+    """{status, tree, truncated}: success, not_found (nothing below the folder) or invalid_path (a leading slash).
+
+    A tree of more than ANSWER_BYTES as JSON comes without file names; the names are
+    measured before any of them is brought to the driver.
+    """
+    if folder and folder.startswith("/"):
+        return {"status": "invalid_path", "tree": None, "truncated": False}
+    rows = list_files(files, folder)
+    names = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length(T.base_name("path")) + 4).alias("size")).first()
+    if folder and not names["n"]:
+        return {"status": "not_found", "tree": None, "truncated": False}
+    tree = nested_tree(files, folder) if (names["size"] or 0) <= ANSWER_BYTES else None
+    truncated = tree is None or len(json.dumps(tree, ensure_ascii=False).encode()) > ANSWER_BYTES
+    return {"status": "success", "tree": nested_tree(files, folder, with_names=False) if truncated else tree, "truncated": truncated}
+
+
 def file_at(files: DataFrame, path: str) -> dict:
     """{status, row}: success, not_found or invalid_path."""
     if not path or path.startswith("/") or ".." in path.split("/"):

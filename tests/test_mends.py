@@ -71,3 +71,18 @@ def test_sparse_search_in_passes(spark, monkeypatch):
             scores = [(-sum(t.split().count(w) * u.split().count(w) for w in set(t.split())), i) for i, u in texts]
             want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(sorted(x for x in scores if x[0])[:7])]
     assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_tree_answer(spark):
+    from rivulet.sources import corpus
+
+    files = spark.createDataFrame([("work/a.md",), ("work/deep/b.md",), ("home/c.txt",)], "path string")
+    whole = corpus.tree_answer(files)
+    assert whole["status"] == "success" and not whole["truncated"]
+    assert whole["tree"]["sub_folders"]["work"]["files"] == ["a.md"]
+    assert corpus.tree_answer(files, "/work")["status"] == "invalid_path"
+    assert corpus.tree_answer(files, "none") == {"status": "not_found", "tree": None, "truncated": False}
+    assert corpus.tree_answer(files.limit(0))["status"] == "success"
+    many = spark.range(20_000).selectExpr("concat('work/', lpad(id, 40, '0'), '.md') as path")
+    large = corpus.tree_answer(many, "work")
+    assert large["truncated"] and large["tree"]["sub_folders"]["work"] == {"files": [], "sub_folders": {}, "extension_counts": {"md": 20_000}}
