@@ -21,7 +21,6 @@ and null ids give a row each; other columns are ignored.
 
 from __future__ import annotations
 
-import copy
 import zlib
 from collections.abc import Iterator
 
@@ -77,12 +76,12 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Vectors:
-    """Word vectors of the rows that occur; all others are zero."""
+    """Word vectors of the rows that occur, after a first vector of zeros that all others have."""
 
     def __init__(self, rows: np.ndarray, vectors: np.ndarray):
         self.place = np.zeros(ROWS, dtype=np.int32)
         self.place[rows] = np.arange(1, len(rows) + 1)
-        self.vectors = np.vstack([np.zeros((1, DIMS), np.float32), vectors.astype(np.float32)])
+        self.vectors = vectors
         self._sent = None
 
     def __getitem__(self, words: np.ndarray) -> np.ndarray:
@@ -90,11 +89,13 @@ class Vectors:
         return found if found.dtype == np.float32 else found.astype(np.float32) * _STEP
 
     def sent(self, spark: SparkSession) -> Broadcast:
-        """What tasks read them from, made once: components in steps of 1 / 32767, two bytes each."""
+        """What tasks read them from, made once: components in steps of 1 / 32767, two bytes each, here too from then on."""
         if self._sent is None:
-            small = copy.copy(self)
-            small.vectors = np.rint(self.vectors / _STEP).astype(np.int16)
-            self._sent = spark.sparkContext.broadcast(small)
+            steps = np.empty(self.vectors.shape, np.int16)
+            for k in range(0, len(steps), RANGE):
+                steps[k : k + RANGE] = np.rint(self.vectors[k : k + RANGE] / _STEP)
+            self.vectors = steps
+            self._sent = spark.sparkContext.broadcast(self)
         return self._sent
 
 
@@ -132,8 +133,13 @@ def word_vectors(docs: DataFrame) -> Vectors:
 
     parts = docs.select("text").mapInArrow(count, "range int, steps binary, sums binary")
     got = parts.repartition(16, "range").mapInArrow(add, "words binary, vectors binary").collect()  # at most ROWS vectors
-    rows = np.concatenate([np.frombuffer(r["words"], np.int32) for r in got]) if got else np.zeros(0, np.int32)
-    vectors = np.concatenate([np.frombuffer(r["vectors"], np.float32).reshape(-1, DIMS) for r in got]) if got else np.zeros((0, DIMS))
+    rows = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["words"], np.int32) for r in got)])
+    vectors = np.zeros((len(rows) + 1, DIMS), np.float32)
+    end = len(vectors)
+    while got:  # from the last, so that each part is freed once copied
+        part = np.frombuffer(got.pop()["vectors"], np.float32).reshape(-1, DIMS)
+        vectors[end - len(part) : end] = part
+        end -= len(part)
     return Vectors(rows, vectors)
 
 
