@@ -31,6 +31,8 @@ from . import learn
 
 PER_LANGUAGE = 1000
 MAX_ROWS = 6000
+#: Hashes of a language are counted in 2 to this power ranges.
+PART_BITS = 12
 HALF = 2048
 DIMS = 2 * HALF
 _ROWS = 256
@@ -128,12 +130,16 @@ def _predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sample(rows: DataFrame, per_language: int, max_rows: int) -> DataFrame:
     """(lang, text) of at most ``max_rows`` rows of (id, text, lang).
 
-    Hashes are drawn first: each task keeps its least ones of a language, so
-    nothing else is shuffled, and texts are read for the hashes drawn alone.
+    Hashes are drawn first, and texts are read for the hashes drawn alone.  Of a language,
+    counts by ranges of hashes tell which ranges hold its least ones, so that one
+    task ranks little more than ``per_language`` hashes, however many the language has.
     """
     hashed = rows.withColumn("h", F.xxhash64(F.lit("langid"), "id", "text"))
+    keys = hashed.select("lang", "h").distinct().withColumn("part", F.shiftright("h", 64 - PART_BITS))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    least = keys.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < per_language)
     number = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    drawn = hashed.select("lang", "h").distinct().withColumn("n", number).where(F.col("n") <= per_language)
+    drawn = keys.join(least.select("lang", "part"), ["lang", "part"]).withColumn("n", number).where(F.col("n") <= per_language)
     drawn = drawn.orderBy("n", "h", "lang").limit(max_rows).select("lang", "h")
     return hashed.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")  # at most ``max_rows``
 
