@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -235,8 +237,9 @@ f AS (SELECT user_id, event_id, i, 0::BIGINT AS buffer, value AS held, value > 5
   UNION ALL SELECT e.user_id, e.event_id, e.i, f.buffer + f.done::BIGINT, CASE WHEN f.done THEN e.value ELSE f.held + e.value END, (CASE WHEN f.done THEN e.value ELSE f.held + e.value END) > 500 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, buffer, count(*) AS n, max(event_id) AS last_id FROM f GROUP BY 1, 2""")
 def buffer_fold(spark, d):
-    """Buffers that close when their values pass 500: the predicate sees the buffer."""
-    rows = windows.buffer_fold(_t(spark, d, "events").select("event_id", "user_id", "value"), lambda held, row: sum(r["value"] for r in held) + row["value"] > 500, ["event_id"], ["user_id"])
+    """Buffers that close when their values pass 500: the predicate sees the buffer, and adds it up one by one (sum() of floats would compensate)."""
+    passed = lambda held, row: reduce(add, [r["value"] for r in (*held, row)]) > 500
+    rows = windows.buffer_fold(_t(spark, d, "events").select("event_id", "user_id", "value"), passed, ["event_id"], ["user_id"])
     return rows.groupBy("user_id", "buffer").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 

@@ -124,6 +124,16 @@ def test_running_state(spark):
     assert [r["trend"] for r in running.moving_average(df, "v", 2, ["id"]).orderBy("id").collect()] == ["down", "down"]
 
 
+def test_buffer_fold_adds_one_by_one(spark, tmp_path):
+    """One by one these values pass 500 by a rounding, as in the SQL; a compensated sum is 500."""
+    from rivulet.plans import catalogue
+
+    values = [91.77, 24.19, 71.54, 83.62, 4.61, 35.24, 52.79, 136.24, 1.0]
+    spark.createDataFrame([(i, 7, v) for i, v in enumerate(values)], "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["buffer_fold"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(7, 0, 8, 7), (7, 1, 1, 8)]
+
+
 def test_patterns(numbers):
     df = numbers(1, 2, 3, 1, 1, 2, 3).withColumn("k", F.lit(0))
     assert values(running.pattern_ends(df, "v", [1, 2, 3], ["ord"]), name="ord") == [2, 6]
