@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +36,25 @@ def running_counters(df: DataFrame, counters: dict[str, Column], order: Order, b
 
 
 def milestones(df: DataFrame, value: str, every: float, order: Order, by: Sequence[str] = ()) -> DataFrame:
-    """Rows at which the running total passes a multiple of ``every``."""
-    out = df.withColumn("running_total", F.sum(value).over(so_far(order, by)))
-    return out.where(F.floor(F.col("running_total") / every) > F.floor((F.col("running_total") - F.col(value)) / every))
+    """Rows at which the running total passes a multiple of ``every``, or reaches it from below.
+
+    Floating-point values add up as the decimals of up to 9 places that they print as, so a total
+    that is a multiple counts as one whatever the rounding of sums; from a value that is no such decimal on
+    (more places, 1e19 or more, NaN) the total is a floating-point sum.
+    """
+    if every <= 0:
+        raise ValueError("every must be positive")
+    w, step = so_far(order, by), Decimal(str(every))
+    if df.schema[value].dataType.typeName() not in ("double", "float") or step.as_tuple().exponent < -9 or step >= 10**19:
+        out = df.withColumn("running_total", F.sum(value).over(w))
+        return out.where(F.floor(F.col("running_total") / every) > F.floor((F.col("running_total") - F.col(value)) / every))
+    plain, exact = F.col(value).cast("double"), F.col(value).try_cast("decimal(28,9)")
+    odd = F.count_if(plain.isNotNull() & ~F.coalesce(exact.cast("double") == plain, F.lit(False)))
+    out = df.withColumn("_exact", F.sum(exact).over(w)).withColumn("_plain", F.sum(plain).over(w)).withColumn("_odd", odd.over(w) > 0)
+    last = lambda total: total - F.pmod(total, F.lit(f"{step:f}").cast("decimal(28,9)"))  # noqa: E731  the last multiple: a division would round
+    double = F.floor(F.col("_plain") / every) > F.floor((F.col("_plain") - plain) / every)
+    out = out.where(F.when(F.col("_odd"), double).otherwise(last(F.col("_exact")) > last(F.col("_exact") - exact)))
+    return out.withColumn("running_total", F.when(F.col("_odd"), F.col("_plain")).otherwise(F.col("_exact").cast("double"))).drop("_exact", "_plain", "_odd")
 
 
 def moving_average(df: DataFrame, value: str, size: int, order: Order, by: Sequence[str] = ()) -> DataFrame:

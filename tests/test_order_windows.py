@@ -124,6 +124,19 @@ def test_running_state(spark):
     assert [r["trend"] for r in running.moving_average(df, "v", 2, ["id"]).orderBy("id").collect()] == ["down", "down"]
 
 
+def test_milestones_reach_exact_multiples(spark):
+    """Ten times 0.1 is 1, as for 29.9 and 0.1 after it; values that are no short decimals add up as they are."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([0.1] * 10 + [29.0, 0.9, 0.1, None])], "id int, v double")
+    got = running.milestones(df, "v", 1, ["id"]).orderBy("id").collect()
+    assert [(r["id"], r["running_total"]) for r in got] == [(9, 1.0), (10, 30.0), (12, 31.0)] and got[0].asDict().keys() == {"id", "v", "running_total"}
+    odd = spark.createDataFrame([(0, 0.5), (1, 1 / 3), (2, 0.25), (3, 1e30), (4, float("nan"))], "id int, v double")
+    assert [r["id"] for r in running.milestones(odd.where("id < 3"), "v", 1, ["id"]).collect()] == [2]
+    assert [r["id"] for r in running.milestones(odd.where("id in (0, 2, 3)"), "v", 1, ["id"]).collect()] == [3]
+    assert [r["id"] for r in running.milestones(df.selectExpr("id", "id AS v"), "v", 10, ["id"]).orderBy("id").collect()][:2] == [4, 6]
+    with pytest.raises(ValueError):
+        running.milestones(df, "v", 0, ["id"])
+
+
 def test_buffer_fold_adds_one_by_one(spark, tmp_path):
     """One by one these values pass 500 by a rounding, as in the SQL; a compensated sum is 500."""
     from rivulet.plans import catalogue
