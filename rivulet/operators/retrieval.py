@@ -28,6 +28,10 @@ QUERY_BYTES = 8 << 20
 QUERY_PASS = 2 << 20
 #: Rows of query terms that a task holds at once.
 TERM_PASS = 1 << 20
+#: A word of a lower-cased text, in Java's regular expressions as in Python's.
+WORD = "[0-9a-zà-ÿœß]+"
+#: Documents that give the first floors of a sparse search, for each of the k results asked for.
+SEEDS = 8
 
 
 def norm(a: Column) -> Column:
@@ -124,71 +128,128 @@ def sparse_rows(df: DataFrame, id_col: str, text_col: str, name: str = "id") ->
 
 def words_of(text: Column) -> Column:
     """Words of letters and digits, lower-cased, as an array."""
-    return F.filter(F.split(F.lower(text), r"[^0-9a-zà-ÿœß]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), WORD.replace("[", "[^", 1)), lambda w: w != "")
 
 
 def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): sums of products over shared terms.  documents: id, terms (an array of words; or a row per term, with tf); queries: query_id, term, tf.
+    """(query_id, id, score, rank): sums of products over shared terms.  documents: id, text (or terms, an array of words; or a row per term, with tf); queries: query_id, term, tf.
 
     Query terms go to all tasks in passes of at most about ``TERM_PASS`` rows.  A task looks the
     words of a batch up among them, adds up products by posting lists, and
     sends each query's k best (and equal scores) of its documents on, so neither
     common terms nor the number of documents that share one are ever shuffled.
+
+    The k-th best score among some documents, the ``SEEDS`` * k with the longest texts, is a floor of each query's
+    results.  No score exceeds the product of the two lengths (as vectors of counts), so a
+    document is scored only if its length lets it reach some query's floor.  This leaves no result out.
     """
+    import re
+
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
 
-    if "terms" not in documents.columns:  # rows of (id, term, tf)
-        documents = documents.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+    if "text" in documents.columns:
+        documents = documents.select("id", F.lower("text").alias("body"), F.length("text").alias("size")).where("body is not null")
+    else:
+        if "terms" not in documents.columns:  # rows of (id, term, tf)
+            documents = documents.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
+        documents = documents.select("id", F.col("terms").alias("body"), F.size("terms").alias("size")).where("body is not null")
     kinds = documents.schema["id"].dataType, queries.schema["query_id"].dataType
     arrow = [to_arrow_type(t) for t in kinds]
     passes = max(1, math.ceil(queries.count() / TERM_PASS))
+    longest = documents.select("size").orderBy(F.desc("size")).limit(SEEDS * k).agg(F.min("size"), F.count("*")).first()
+    seeds = documents.where(F.col("size") >= longest[0]) if longest[1] == SEEDS * k else None  # fewer documents need no floors
+    word = WORD
+
+    def words_in(body) -> tuple[np.ndarray, pa.Array]:
+        """(offsets, words) of texts or of lists of words."""
+        if pa.types.is_list(body.type):
+            return np.asarray(body.offsets).astype(int) - body.offsets[0].as_py(), body.flatten()
+        found = [re.findall(word, t) for t in body.to_pylist()]
+        return np.cumsum([0, *map(len, found)]), pa.array([w for f in found for w in f], pa.string())
+
+    def counts(offsets: np.ndarray, rows: np.ndarray, at: np.ndarray):
+        """(place in ``rows``, term, times) of the words of some rows; -1 is no term."""
+        size = offsets[rows + 1] - offsets[rows]
+        doc = np.repeat(np.arange(len(rows)), size)
+        t = at[np.repeat(offsets[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        doc, t = doc[t >= 0], t[t >= 0]
+        width = int(t.max(initial=0)) + 1
+        key, times = np.unique(doc * width + t, return_counts=True)
+        return *np.divmod(key, width), times
 
     def one_pass(part: DataFrame) -> DataFrame:
-        rows = part.select("query_id", "term", F.col("tf").cast("double").alias("tf")).collect()  # TERM_PASS rows, about
-        names = sorted({r["query_id"] for r in rows})
-        vocabulary = sorted({r["term"] for r in rows})
-        place, number = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(names)}
-        term, query, tf = np.array([place[r["term"]] for r in rows], int), np.array([number[r["query_id"]] for r in rows], int), np.array([r["tf"] for r in rows])
+        rows = part.select("query_id", "term", F.col("tf").cast("double").alias("tf")).toArrow()  # TERM_PASS rows, about
+        coded = [pc.dictionary_encode(rows.column(i).combine_chunks()) for i in (0, 1)]
+        names, words = (c.dictionary for c in coded)
+        query, term = (c.indices.to_numpy().astype(int) for c in coded)
         order = np.argsort(term, kind="stable")
-        first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-        query, tf, n = query[order], tf[order], len(names)
+        first = np.searchsorted(term[order], np.arange(len(words) + 1))
+        query, tf, n = query[order], rows.column(2).to_numpy()[order], len(names)
+        reach = np.maximum(np.sqrt(np.bincount(query, tf * tf, n)) * (1 + 1e-9), 1e-300)  # lengths of the queries
 
-        def best(ids: list, of: np.ndarray, scores: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-            """What reaches the k-th best score of its query."""
+        def kth_best(of: np.ndarray, scores: np.ndarray) -> np.ndarray:
+            """The k-th best score of each query; without so many none."""
             order = np.lexsort((-scores, of))
-            start = np.searchsorted(of[order], np.arange(n))
-            kth = np.minimum(start + k - 1, np.append(start[1:], len(order)) - 1)
-            floor = np.where(kth >= start, scores[order[np.clip(kth, 0, max(len(order) - 1, 0))]], -np.inf) if len(order) else np.zeros(n)
-            keep = np.flatnonzero(scores >= floor[of])
-            return [ids[i] for i in keep.tolist()], of[keep], scores[keep]
-
-        def run(batches):
-            held: tuple = ([], np.zeros(0, int), np.zeros(0))
-            words = pa.array(vocabulary, pa.string())
-            for batch in batches:
-                lists = batch.column(1)
-                offsets = np.asarray(lists.offsets).astype(int)
-                at = pc.index_in(lists.values, value_set=words).fill_null(-1).to_numpy()
-                ids = batch.column(0)
-                for low in range(0, batch.num_rows, 256):
-                    high = min(low + 256, batch.num_rows)
-                    t = at[offsets[low] : offsets[high]]
-                    doc = np.repeat(np.arange(high - low), np.diff(offsets[low : high + 1]))
-                    doc, t = doc[t >= 0], t[t >= 0]
-                    key, times = np.unique(doc * len(vocabulary) + t, return_counts=True)
-                    doc, t = np.divmod(key, max(len(vocabulary), 1))
-                    size = first[t + 1] - first[t]
-                    posting = np.repeat(first[t] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    scores = np.bincount(np.repeat(doc, size) * n + query[posting], np.repeat(times, size) * tf[posting], (high - low) * n)
-                    hit = np.flatnonzero(scores)
-                    new = [ids[low + i].as_py() for i in (hit // n).tolist()] if len(hit) < 1000 else np.array(ids.slice(low, high - low).to_pylist(), dtype=object)[hit // n].tolist()
-                    held = best(held[0] + new, np.concatenate([held[1], hit % n]), np.concatenate([held[2], scores[hit]]))
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in held[1].tolist()], arrow[1]), pa.array(held[0], arrow[0]), pa.array(held[2])], ["query_id", "id", "score"])
-
-        return documents.select("id", "terms").where("terms is not null").mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
+            start = np.searchsorted(of[order], np.arange(n + 1))
+            full = np.diff(start) >= k
+            out = np.full(n, -np.inf)
+            out[full] = scores[order[start[:-1][full] + k - 1]]
+            return out
+
+        def search(some: DataFrame, floors: np.ndarray):
+            """Scores the documents that can reach the floor of a query."""
+
+            def run(batches):
+                floor, ids, most = floors.copy(), [], 2 * n * k
+                held = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]  # places in ids, queries, scores
+                for batch in batches:
+                    needed = float((floor / reach).min(initial=np.inf))
+                    # a text of so many letters has at most half as many words, and a length of at most its number of words
+                    each = 2 if pa.types.is_string(batch.column(1).type) else 1
+                    able = batch.filter(pc.greater_equal(pc.add(batch.column(2), each - 1), max(each * needed, 1.0))) if needed < np.inf else batch.slice(0, 0)
+                    if not able.num_rows:
+                        continue
+                    picked, (offsets, flat) = able.column(0), words_in(able.column(1))
+                    at = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy()
+                    todo = np.flatnonzero(np.diff(offsets) >= max(needed, 1.0))
+                    for low in range(0, len(todo), 256):
+                        rows = todo[low : low + 256]
+                        doc, t, times = counts(offsets, rows, at)
+                        length = np.sqrt(np.bincount(doc, times.astype(float) ** 2, len(rows)))
+                        keep = length >= float((floor / reach).min(initial=np.inf))
+                        doc, t, times = doc[keep[doc]], t[keep[doc]], times[keep[doc]]
+                        listed = first[t + 1] - first[t]
+                        posting = np.repeat(first[t] - np.cumsum(listed) + listed, listed) + np.arange(listed.sum())
+                        scores = np.bincount(np.repeat(doc, listed) * n + query[posting], np.repeat(times, listed) * tf[posting], len(rows) * n).reshape(len(rows), n)
+                        d, q = np.nonzero((scores >= floor) & (scores != 0))
+                        if not len(d):
+                            continue
+                        hit, place = np.unique(d, return_inverse=True)
+                        held = [np.append(held[0], len(ids) + place), np.append(held[1], q), np.append(held[2], scores[d, q])]
+                        ids += picked.take(pa.array(rows[hit])).to_pylist()
+                        if len(held[0]) > most:
+                            floor = np.maximum(floor, kth_best(held[1], held[2]))
+                            stay = held[2] >= floor[held[1]]
+                            used, place = np.unique(held[0][stay], return_inverse=True)
+                            held, ids = [place, held[1][stay], held[2][stay]], [ids[i] for i in used.tolist()]
+                            most = 2 * max(n * k, len(place))
+                floor = np.maximum(floor, kth_best(held[1], held[2]))
+                stay = np.flatnonzero(held[2] >= floor[held[1]])
+                known = pa.array(ids, arrow[0])
+                for low in range(0, len(stay), 65536):
+                    s = stay[low : low + 65536]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(held[1][s])).cast(arrow[1]), known.take(pa.array(held[0][s])), pa.array(held[2][s])], ["query_id", "id", "score"])
+
+            return some.mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
+
+        floors = np.full(n, -np.inf)
+        if seeds is not None:
+            found = ranked(search(seeds, floors), k, ["query_id"]).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row per query of the pass
+            floors[pc.index_in(found.column(0).combine_chunks().cast(names.type), value_set=names).to_numpy()] = found.column(1).to_numpy()
+        return search(documents, floors)
 
     scored = None
     for i in range(passes):
@@ -400,7 +461,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
     sparse = tagged = None
     if texts is not None:
         words = sparse_rows(queries, "query_id", "query_text", "query_id")
-        sparse = raised(sparse_topk(texts.select("id", words_of(F.col("content")).alias("terms")), words, 2 * SPARSE_LIMIT), SPARSE_LIMIT)
+        sparse = raised(sparse_topk(texts.select("id", F.col("content").alias("text")), words, 2 * SPARSE_LIMIT), SPARSE_LIMIT)
     if tags:
         tagged = raised(tag_branch(vectors, tags, queries, 2 * TAG_LIMIT), TAG_LIMIT)
     hits = hybrid(branches[0], sparse, tagged, limit, method)

@@ -640,8 +640,7 @@ _SPARSE_SQL = f"{_TERMS_SQL}, sp AS (SELECT q.doc_id AS query_id, c.doc_id AS id
 
 def _sparse(spark, d, k):
     docs = _t(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), retrieval.words_of(F.col("text")).alias("terms"))
-    return retrieval.sparse_topk(rows, retrieval.sparse_rows(docs.where("doc_id % 50 = 0"), "doc_id", "text", "query_id"), k)
+    return retrieval.sparse_topk(docs.select(F.col("doc_id").alias("id"), "text"), retrieval.sparse_rows(docs.where("doc_id % 50 = 0"), "doc_id", "text", "query_id"), k)
 
 
 @query(f"WITH {_SPARSE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sp) SELECT * FROM r WHERE rank <= 20")

@@ -73,6 +73,32 @@ def test_sparse_search_in_passes(spark, monkeypatch):
     assert sorted((r["query_id"], r["id"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
 
 
+def test_sparse_search_scores_what_can_reach_a_floor(spark):
+    """Short texts after long ones are not scored, those that reach a floor are: texts and word lists, with copies, odd letters and nulls."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    draw = random.Random(2)
+    texts = [(i, " ".join(draw.choice(["ab", "C", "d1", "Éa", "œ", "f-g", "h"]) for _ in range(draw.choice([0, 1, 5, 5, 200])))) for i in range(400)]
+    texts += [(400 + i, t) for i, t in texts[:50]] + [(900, None), (901, "zz " * 300)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(6)
+    queries = retrieval.sparse_rows(df.where("id % 40 = 0"), "id", "text", "query_id")
+    brute = df.select("id", F.explode(retrieval.words_of(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n")).join(queries, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("tf")).cast("double").alias("score"))
+    want = sorted(tuple(r) for r in retrieval.ranked(brute, 3, ["query_id"]).select("query_id", "id", "score", "rank").collect())
+    scored = []
+    real = retrieval.ranked
+    retrieval.ranked = lambda rows, *a, **k: scored.append(rows) or real(rows, *a, **k)
+    try:
+        for documents in (df, df.select("id", retrieval.words_of(F.col("text")).alias("terms"))):
+            assert sorted(tuple(r) for r in retrieval.sparse_topk(documents, queries, 3).select("query_id", "id", "score", "rank").collect()) == want
+    finally:
+        retrieval.ranked = real
+    lengths = {i: len(t or "") for i, t in texts}
+    sent = [r["id"] for r in scored[-1].collect()]
+    assert sent and sum(lengths[i] < 30 for i in sent) <= len(sent) / 10
+
+
 def test_tree_answer(spark):
     from rivulet.sources import corpus
 
