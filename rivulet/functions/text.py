@@ -59,9 +59,11 @@ def fixed_chunks(text: str | Column, size: int = 200, overlap: int = 50) -> Colu
 
 def word_chunks(text: str | Column, words: int = 5) -> Column:
     """Every ``words`` words, joined by a space."""
-    parts = F.filter(F.split(_col(text), r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts), F.lit(words))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(parts, s, F.lit(words)), " "))
+    if words <= 0:
+        raise ValueError("need words > 0")
+    # one scan of the text; inside a function of an array's items a split would run again for each item
+    runs = F.regexp_extract_all(_col(text), F.lit(rf"\S+(?:\s+\S+){{0,{words - 1}}}+"), F.lit(0))
+    return F.transform(F.coalesce(runs, F.array().cast("array<string>")), lambda run: F.regexp_replace(run, r"\s+", " "))
 
 
 def exploded(df: DataFrame, items: Column, index: str, value: str) -> DataFrame:

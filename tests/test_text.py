@@ -1,4 +1,5 @@
 import hashlib
+import time
 import uuid
 from datetime import datetime
 
@@ -107,6 +108,15 @@ def test_splitting():
     assert " ".join(pieces).count("word") >= 500
 
 
+def test_words_of_a_long_text_are_split_once(spark):
+    """For each chunk anew, this would take minutes."""
+    df = spark.createDataFrame([(" ".join(map(str, range(100_001))) + " \t",), (None,), (" \n",)], "t string").select(text.word_chunks("t").alias("c"))
+    began = time.perf_counter()
+    got = [r["c"] for r in df.collect()]
+    assert time.perf_counter() - began < 20 and got[1:] == [[], []]
+    assert len(got[0]) == 20_001 and got[0][-1] == "100000" and got[0][1] == "5 6 7 8 9"
+
+
 def test_document_flow(spark):
     df = spark.createDataFrame([("a.md", "---\ntags: x\n---\n# T\n\nhello **world**"), ("b.md", None), ("c.md", "")], "source string, page string")
     cleaned = markdown.clean_documents(df, "page")
