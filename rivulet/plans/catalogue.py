@@ -954,7 +954,9 @@ SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY start, fir
 def split_markdown(spark, d):
     """Texts without a separator: pieces of 2,000, cut again into 1,000 with an overlap of 100."""
     size = F.col("p_size") * 100 + F.pmod("p_partkey", F.lit(100)).cast("int")
-    texts = _t(spark, d, "part").select("p_partkey", F.substring(F.repeat(F.lit("0123456789"), 600), F.lit(1), size).alias("content"))
+    # a few bytes a row become thousands, so more tasks than the table has parts
+    parts = _t(spark, d, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    texts = parts.select("p_partkey", F.substring(F.repeat(F.lit("0123456789"), 600), F.lit(1), size).alias("content"))
     return markdown.split_documents(texts, "content", "p_partkey").select("p_partkey", "chunk_idx", "length", "chunk")
 
 

@@ -108,6 +108,16 @@ def test_splitting():
     assert " ".join(pieces).count("word") >= 500
 
 
+def test_letters_are_cut_by_slices():
+    for text, size, overlap in (("0123456789", 4, 1), ("abc", 4, 1), ("ab cd efg", 3, 5), ("   x", 2, 0), ("", 3, 1)):
+        step = size - min(overlap, size - 1)
+        want = [text[p : p + size].strip() for p in range(0, max(len(text) - size, 0) + step, step)]
+        assert markdown.recursive_split(text, size, overlap, ("",)) == [w for w in want if w]
+    began = time.perf_counter()
+    assert len(markdown.recursive_split("x" * 10_000_000, 1000, 100, ("",))) == 11_111
+    assert time.perf_counter() - began < 1
+
+
 def test_words_of_a_long_text_are_split_once(spark):
     """For each chunk anew, this would take minutes."""
     df = spark.createDataFrame([(" ".join(map(str, range(100_001))) + " \t",), (None,), (" \n",)], "t string").select(text.word_chunks("t").alias("c"))
