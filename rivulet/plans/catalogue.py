@@ -750,7 +750,7 @@ def stream_state(spark, d):
 @query("SELECT user_id, (count(*) // 8)::BIGINT AS batches FROM events GROUP BY 1 HAVING count(*) >= 8")
 def stream_batches(spark, d):
     out = streams.count_buffers(_stream(spark, d), "user_id", 8, "event_id")
-    return streams.to_memory(out, _sink("batches")).groupBy("user_id").agg(F.count("*").alias("batches"))
+    return streams.to_folder(out).groupBy("user_id").agg(F.count("*").alias("batches"))
 
 
 # -- sources, sinks and whole results -----------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import shared_folder
+
 
 def parquet_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Files of a folder as they come; the schema is given, never inferred.  ``files_per_batch`` bounds a micro-batch."""
@@ -70,18 +73,24 @@ def count_buffers(df: DataFrame, key: str, size: int, order: str, key_type: str
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, held = state.get if state.exists else (0, [])
         rows = pd.concat(list(frames)).sort_values(order)
-        held = [*held, *(r.to_json(date_format="iso") for _, r in rows.iterrows())]
-        out = []
-        while len(held) >= size:
-            out.append((k[0], done, held[:size]))
-            done, held = done + 1, held[size:]
-        state.update((done, held))
+        held = [*held, *rows.to_json(orient="records", lines=True, date_format="iso").splitlines()]
+        full = len(held) // size
+        out = [(k[0], done + i, held[i * size : (i + 1) * size]) for i in range(full)]
+        state.update((done + full, held[full * size :]))
         if out:
             yield pd.DataFrame(out, columns=[key, "batch", "items"])
 
     return df.groupBy(key).applyInPandasWithState(update, f"{key} {key_type}, batch long, items array<string>", "done long, held array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def to_folder(df: DataFrame) -> DataFrame:
+    """Runs a bounded stream that appends to its end and returns what it gave, kept in the shared folder: nothing passes through the driver."""
+    folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    query = df.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
 def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a bounded stream to its end and returns what it gave: for tests and small replays."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -34,6 +34,16 @@ def test_buffers_across_micro_batches(source):
         streams.count_buffers(source(), "user_id", 0, "event_id")
 
 
+def test_batches_stay_off_the_driver(spark, source, monkeypatch):
+    from rivulet.plans import catalogue
+
+    out = streams.to_folder(streams.count_buffers(source(1), "user_id", 3, "event_id"))
+    assert sorted((r["user_id"], r["batch"], len(r["items"])) for r in out.collect()) == [(0, 0, 3), (0, 1, 3), (1, 0, 3), (1, 1, 3), (2, 0, 3), (2, 1, 3)]
+    assert out.inputFiles()
+    monkeypatch.setattr(streams, "to_memory", lambda *a: pytest.fail("to the driver"))
+    assert catalogue.queries()["stream_batches"](spark, "/root/testdata/sf0.001").inputFiles()
+
+
 def test_micro_batches(source, tmp_path):
     seen = []
     streams.micro_batches(source(1), lambda df, i: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination()
