@@ -8,7 +8,7 @@ A stage's table is removed once the next one is written, the last when the drive
 Defined results: an empty table gives an empty result with the last stage's
 columns; null and letterless texts go in the first stage; of rows that repeat
 an id or a text one stays (see each stage); null ids are ids like any other; columns beside
-those of documents, whatever their names, are kept.
+those of documents, whatever their names, are kept; ``lang`` is what the first stage identified.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from rivulet.session import ship
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (``und``) go; every text with letters is given a learned language and stays."""
+    """Documents without a letter (``und``) go; every text with letters stays, and its ``lang`` becomes the language identified."""
     ship(spark)
     return langid.keep_identified(docs, langid.train(docs))
 

@@ -179,19 +179,26 @@ def identify(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: dict | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` whose language is known, with a score of ``least`` or more; columns as they were."""
+def keep_identified(docs: DataFrame, model: dict | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` whose language is known, with the language identified in ``lang_col`` (a string column, if there is one); other columns as they were.
+
+    Without a model nothing is identified, and ``lang_col`` stays too.
+    """
     names = docs.columns
     at = names.index(text_col)
+    to = names.index(lang_col) if model is not None and lang_col in names and docs.schema[lang_col].dataType.simpleString() == "string" else None
 
     def run(batches):
         for batch in batches:
-            keep = []
+            keep, langs = [], []
             for _, _, x, has in vectors(batch.column(at)):
-                score = np.ones(len(x)) if model is None else _predict(model, x)[1]
-                keep.append(has & (score >= least))
+                keep.append(has)
+                if to is not None:
+                    langs.append(_predict(model, x)[0])
             if keep:
+                if to is not None:
+                    field = batch.schema.field(to)
+                    batch = batch.set_column(to, field, pa.array(np.concatenate(langs), pa.string()).cast(field.type))
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)
-

@@ -80,6 +80,14 @@ def test_language_stage_drops_only_what_op5_calls_und(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == sorted(r["doc_id"] for r in named)
 
 
+def test_language_stage_writes_what_it_identifies(spark):
+    """Missing and wrong languages become those that op5's method gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "if(doc_id % 9 = 0, null, if(doc_id % 10 = 1, 'xx', lang)) AS lang", "text", "source")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    want = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.train(docs)).where("lang_pred <> 'und'").collect()}
+    assert got == want and None not in got.values()
+
+
 def test_run_over_a_small_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "text", "shard"} <= set(out.columns)
