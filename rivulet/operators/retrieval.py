@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .state import cut_lineage
+from .state import fixed
 
 #: Fixed values of the search: per-branch limits, decay scale (90 days) and weights.
 DENSE_LIMIT, SPARSE_LIMIT, TAG_LIMIT, BRANCH_FACTOR = 100, 100, 1000, 4
@@ -450,7 +450,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
     vectors: id, vector, content, source, idx, tags, modified; queries: query_id, query_vector, query_text.
     Without a reranker up to 4 * limit unmerged rows a query come back.
     """
-    vectors = cut_lineage(vectors)  # read by every branch: embedded once
+    vectors = fixed(vectors)  # read by every branch: embedded once
     attributes = vectors.drop("vector")
     boost = boosted(F.col("score"), F.col("modified"), F.col("tags"), now, tags, window)
 
@@ -463,7 +463,10 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
         words = sparse_rows(queries, "query_id", "query_text", "query_id")
         sparse = raised(sparse_topk(texts.select("id", F.col("content").alias("text")), words, 2 * SPARSE_LIMIT), SPARSE_LIMIT)
     if tags:
-        tagged = raised(tag_branch(vectors, tags, queries, 2 * TAG_LIMIT), TAG_LIMIT)
+        # equal scores for every query: one query's hits are boosted, and their first rows given to all
+        one = tag_branch(vectors, tags, queries.sparkSession.range(1).select(F.col("id").alias("query_id")), 2 * TAG_LIMIT)
+        first = raised(one, TAG_LIMIT).drop("query_id").where(F.col("rank") <= min(TAG_LIMIT, BRANCH_FACTOR * limit))
+        tagged = queries.select("query_id").crossJoin(F.broadcast(first))
     hits = hybrid(branches[0], sparse, tagged, limit, method)
     full = hits.join(attributes, "id").join(_small(queries.select("query_id", "query_text")), "query_id")
     if reranker is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, removed when the driver ends: unlike a checkpoint's, its columns are read one by one."""
+    spark = df.sparkSession
+    name = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
+
+
 class State:
     """Results by name.  Lazy ones are plans; ``materialize`` fixes one; copies share nothing mutable."""
 

@@ -128,6 +128,18 @@ def test_embedding(spark):
     assert lost.count() == 0
 
 
+def test_search_writes_little(spark, monkeypatch):
+    """Vectors are kept as a table by columns, and tagged documents are boosted once, before they meet the queries."""
+    v = spark.createDataFrame([(i, [1.0, float(i)], "a b", "s", i, ["t"], datetime(2024, 1, 1 + i)) for i in range(9)], "id int, vector array<double>, content string, source string, idx int, tags array<string>, modified timestamp")
+    q = spark.createDataFrame([(i, [1.0, 0.0], "a") for i in range(5)], "query_id int, query_vector array<double>, query_text string")
+    monkeypatch.setattr(type(v), "checkpoint", lambda *a, **k: pytest.fail("checkpoint"))
+    boosted, real = [], R.rescored
+    monkeypatch.setattr(R, "rescored", lambda hits, *a: boosted.append(hits) or real(hits, *a))
+    got = R.search(v, q, 1, datetime(2024, 3, 1, tzinfo=timezone.utc), None, ["t"])
+    assert sorted((r["query_id"], r["id"]) for r in got.collect()) == sorted((i, r) for i in range(5) for r in {x["id"] for x in got.where("query_id = 0").collect()})
+    assert boosted[1].count() == 9
+
+
 def test_vault(spark):
     files = spark.createDataFrame([("work/a.md", ["work", "Test"], "2024-01-02"), ("work/sub/b.md", ["#work"], None), ("c.txt", ["home"], "2024-01-03")], "path string, tags array<string>, modified string")
     assert [r["path"] for r in corpus.search_tags(files, ["#Work"]).collect()] == ["work/a.md", "work/sub/b.md"]
