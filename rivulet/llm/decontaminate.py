@@ -96,7 +96,7 @@ def _print_rows(df: DataFrame, lengths: list[int], items: bool, bitmap: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, buf, offsets in K.text_chunks(batch.column(2)):
+            for low, high, buf, offsets in K.text_chunks(batch.column(2), K.SMALL_BYTES):
                 count, found = fingerprints(buf, offsets, lengths, items, bitmap)
                 prints = pa.array([found.get(r, []) for r in range(high - low)], pa.list_(_PRINT))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(count, pa.int64()), prints], ["rid", "id", "n_words", "prints"])

@@ -99,6 +99,14 @@ def _wide_words(n: int) -> int:
     return 1 << max(0, (n // 32 - 1).bit_length())
 
 
+def _count_grams(total: np.ndarray, column: pa.Array) -> None:
+    """Adds the texts' grams to the sketch ``total``."""
+    for _, _, buf, offsets in K.text_chunks(column, K.SMALL_BYTES):
+        w, _, grams = _word_grams(buf, offsets)
+        whole = w.row[: len(grams)] == w.row[SHINGLE - 1 :]
+        np.add.at(total, (grams[whole] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+
+
 def _ranks(docs: DataFrame) -> np.ndarray:
     """How common the grams of each sketch bucket are: 0, or the power of two over twice the mean."""
     size = 1 << SKETCH_BITS
@@ -106,10 +114,7 @@ def _ranks(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for _, _, buf, offsets in K.text_chunks(batch.column(0), 1 << 20):
-                w, _, grams = _word_grams(buf, offsets)
-                whole = w.row[: len(grams)] == w.row[SHINGLE - 1 :]
-                total += np.bincount((grams[whole] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            _count_grams(total, batch.column(0))
         yield from K.emit_parts(total, _SKETCH_CHUNKS)
 
     total = K.collect_sums(docs.select("text").mapInArrow(count, "chunk int, data binary"), "<i8", size, _SKETCH_CHUNKS)
@@ -126,7 +131,7 @@ def _prefixes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     def run(batches):
         seen: set = set()
         for batch in batches:
-            for low, high, buf, offsets in K.text_chunks(batch.column(1)):
+            for low, high, buf, offsets in K.text_chunks(batch.column(1), K.SMALL_BYTES):
                 n, a, b, p = (np.zeros(high - low, np.int64) for _ in range(4))
                 prefix: list = [None] * (high - low)
                 parity: list = [None] * (high - low)
@@ -373,7 +378,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.clear()
             for at in range(0, len(passed), 256):
                 a, b, grams = [], [], []
-                for _, _, buf, offsets in K.text_chunks(batch.column(0).take(pa.array(passed[at : at + 256]))):
+                for _, _, buf, offsets in K.text_chunks(batch.column(0).take(pa.array(passed[at : at + 256])), K.SMALL_BYTES):
                     for _, s in shingle_sets(buf, offsets):
                         key = _set_key(s)
                         a.append(key[0])

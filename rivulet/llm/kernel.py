@@ -4,7 +4,8 @@ Everything here works on whole Arrow string columns at once: the UTF-8 bytes of
 many documents lie in one buffer, words are found by comparing neighbouring
 bytes, and hashes come from prefix sums modulo 2**64.  Work is cut into chunks
 of about half a megabyte of text (never inside a document), which bounds memory
-whatever the batch size is.
+whatever the batch size is; kernels that hold many numbers for a byte take chunks of
+a quarter of that.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 19
+#: For kernels with a dozen 8-byte temporaries for each byte of text: their peak is some 10 MB.
+SMALL_BYTES = 1 << 17
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
@@ -34,7 +37,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        steps = np.full(max(n, CHUNK_BYTES + 4096), base, dtype=np.uint64)
+        steps = np.full(n + n // 4 + 4096, base, dtype=np.uint64)
         steps[0] = 1
         have = _powers[int(base)] = np.multiply.accumulate(steps)
     return have[:n]

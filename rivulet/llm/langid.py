@@ -35,7 +35,8 @@ MAX_ROWS = 6000
 PART_BITS = 12
 HALF = 2048
 DIMS = 2 * HALF
-_ROWS = 256
+#: Rows of a block of features (1 MB in single, 2 MB in double precision).
+_ROWS = 64
 
 # Families of ISO 639-1 codes; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -60,7 +61,7 @@ def family_of(lang: str) -> str:
 
 def vectors(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, feature matrix, has a letter) of blocks of rows."""
-    for low, high, buf, offsets in K.text_chunks(column):
+    for low, high, buf, offsets in K.text_chunks(column, K.SMALL_BYTES):
         low_buf = _PLAIN[K.LOWER[buf]]
         ascii_letters = np.concatenate([[0], np.cumsum((low_buf >= 0x61) & (low_buf <= 0x7A))])
         other = np.concatenate([[0], np.cumsum(low_buf >= 0x80)])

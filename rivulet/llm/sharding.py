@@ -17,9 +17,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import column, fresh
 
@@ -65,7 +65,8 @@ def shard(df: DataFrame, id_col: str = "doc_id", shards: Sequence[str] | None =
     slot = fresh(df.columns, "slot")
     name = fresh([*df.columns, slot], "shard")
     key = fresh([*df.columns, slot, name], "key")
-    rows = spark.createDataFrame(list(enumerate(lookup_table(shards, slots))), T.StructType([T.StructField(key, T.IntegerType()), T.StructField(name, T.IntegerType())]))
+    # an Arrow table is a local relation; a list of rows would start plain Python workers on the executors, beside those of the Arrow stages
+    rows = spark.createDataFrame(pa.table([pa.array(range(slots), pa.int32()), pa.array(lookup_table(shards, slots), pa.int32())], [key, name]))
     placed = df.select(*map(column, df.columns), slot_of(column(id_col), slots).alias(slot))
     out = placed.join(F.broadcast(rows), column(slot) == column(key), "left")
     return out.select(*map(column, df.columns), column(slot), column(name))
