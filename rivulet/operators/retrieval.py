@@ -26,12 +26,18 @@ MIN_OVERLAP, MAX_OVERLAP, MAX_GAP = 20, 500, 2
 QUERY_BYTES = 8 << 20
 #: Numbers of query vectors that a task holds at once: 16 MB.
 QUERY_PASS = 2 << 20
-#: Rows of query terms that a task holds at once.
-TERM_PASS = 1 << 20
+#: Rows of query terms that a task holds at once, and queries that have them.
+TERM_PASS, ASKED_PASS = 2 << 20, 8192
+#: Pairs of rows and queries that a task scores at once: 8 MB.
+BLOCK = 2 << 20
+#: Pairs beyond which a search first looks for floors.
+MANY_PAIRS = 1 << 26
+#: Terms of queries with a dimension of their own in a sparse search, and dimensions that the others share.
+OWN_TERMS, SHARED_DIMS = 448, 64
 #: A word of a lower-cased text, in Java's regular expressions as in Python's.
 WORD = "[0-9a-zà-ÿœß]+"
-#: Documents that give the first floors of a sparse search, for each of the k results asked for.
-SEEDS = 8
+#: One row in so many gives the floors: of a dense search any, of a sparse one the longest.
+DENSE_SEEDS, SPARSE_SEEDS = 4, 8
 
 
 def norm(a: Column) -> Column:
@@ -49,23 +55,78 @@ def ranked(df: DataFrame, k: int, per: Sequence[str], score: str = "score", tie:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
+def _reports(best, low: int = 0):
+    """What a task tells of its k best scores of each query: (query, score, more), ``more`` being the rows that reach this score and no higher one told."""
+    import numpy as np
+    import pyarrow as pa
+
+    k = best.shape[1]
+    ranks = [1, 2]
+    while ranks[-1] < k:
+        ranks.append(ranks[-1] + ranks[-2])
+    ranks = np.array(sorted({min(r, k) for r in ranks}))
+    for low in range(0, len(best), 4096):
+        told = -np.sort(-best[low : low + 4096], axis=1)[:, ranks - 1].astype(float)
+        query, more = np.repeat(np.arange(low, low + len(told)), len(ranks)), np.tile(np.diff(ranks, prepend=0), len(told))
+        known = np.isfinite(told.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(query[known]), pa.array(told.ravel()[known]), pa.array(more[known])], ["query", "score", "more"])
+
+
+def _seen(best, low: int, scores) -> None:
+    """Puts the scores (rows by queries, from query ``low`` on) among the k best of each query."""
+    import numpy as np
+
+    mine, k = best[low : low + scores.shape[1]], best.shape[1]
+    all_ = np.concatenate([mine, np.nan_to_num(scores.T, nan=-np.inf)], axis=1)
+    mine[:] = np.partition(all_, all_.shape[1] - k, axis=1)[:, -k:]
+
+
+def _floors(reports: DataFrame, n: int, k: int):
+    """A score of each of n queries that k rows are known to reach; -inf if there is none."""
+    import numpy as np
+
+    told = Window.partitionBy("query").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    found = reports.withColumn("reached", F.sum("more").over(told)).where(F.col("reached") >= k).groupBy("query").agg(F.max("score").alias("score")).toArrow()  # a row per query of the pass
+    out = np.full(n, -np.inf)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def _local_floors(floor, scores, k: int | None):
+    """``floor``, and where it is -inf the k-th best of these scores (rows by queries)."""
+    import numpy as np
+
+    bare = np.isneginf(floor)
+    if k is None or len(scores) <= k or not bare.any():
+        return floor
+    out = floor.copy()
+    out[bare] = np.partition(np.nan_to_num(scores[:, bare], nan=-np.inf), len(scores) - k, axis=0)[len(scores) - k]
+    return out
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: int = 9, threshold: float | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine similarity.  vectors: id, vector, ...; queries: query_id, query_vector.
 
     With ``k=None`` every hit of the threshold comes, unranked: (query_id, id, score).
 
     Query vectors go to all tasks in passes of at most ``QUERY_PASS`` numbers,
-    so their size there is bounded whatever their count; a task multiplies
-    matrices and sends each query's best k of a batch, and equal scores, on.
+    so their size there is bounded whatever their count.  Of large tables one row in ``DENSE_SEEDS`` is scored first: a
+    score that k of these reach is a floor of the query's results.  A task multiplies matrices in single precision,
+    and scores in double precision, and sends on, what comes near the floor (without one: near a block's k-th best).  This leaves no result out.
     Scores are rounded to ``digits``, so ties don't depend on the order of sums; a vector of zeros scores 0,
     and the shorter of two vectors counts as filled up with zeros.
     """
     import numpy as np
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     shape = queries.agg(F.count("*").alias("n"), F.max(F.size("query_vector")).alias("dims")).first()
     passes = max(1, math.ceil((shape["n"] or 0) * max(shape["dims"] or 1, 1) / QUERY_PASS))
     kinds = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked_type = to_arrow_type(queries.schema["query_id"].dataType)
+    usable = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    many = k is not None and (shape["n"] or 0) * vectors.count() > MANY_PAIRS
+    near = 1e-5 + 10.0**-digits  # of a score of unit vectors in single precision, and of its rounding
 
     def unit(rows, dims):
         m = np.zeros((len(rows), dims))
@@ -77,32 +138,56 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: in
     def one_pass(part: DataFrame) -> DataFrame:
         rows = part.select("query_id", "query_vector").collect()  # at most QUERY_PASS numbers, about
         dims = max((len(r["query_vector"]) for r in rows), default=1)
-        names, q = [r["query_id"] for r in rows], unit([r["query_vector"] for r in rows], dims)
+        names, q = pa.array([r["query_id"] for r in rows], asked_type), unit([r["query_vector"] for r in rows], dims)
+        n = len(q)
 
-        def run(batches):
+        def blocks(batches):
+            """(ids, unit vectors) of at most 2,048 rows."""
             for batch in batches:
-                ids, lists = batch.column(0), batch.column(1)
-                offsets, values = np.asarray(lists.offsets), np.asarray(lists.values, dtype=float)
-                x = unit([values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], dims)
-                for low in range(0, len(q), 128):
-                    scores = x @ q[low : low + 128].T
-                    at, of = [], []
-                    for j in range(scores.shape[1]):
-                        s = scores[:, j]
-                        least = np.partition(s, len(s) - k)[len(s) - k] if k is not None and len(s) > k else -np.inf
-                        if threshold is not None:
-                            least = max(least, threshold)
-                        hit = np.flatnonzero(s >= least - 10.0**-digits)
-                        at.append(hit)
-                        of.append(np.full(len(hit), low + j))
-                    at, of = np.concatenate(at), np.concatenate(of)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in of.tolist()], batch_types[1]), ids.take(pa.array(at)), pa.array(scores[at, of - low])], ["query_id", "id", "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        batch_types = [None, to_arrow_type(queries.schema["query_id"].dataType)]
-        usable = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-        return usable.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+                for low in range(0, batch.num_rows, 2048):
+                    some = batch.slice(low, 2048)
+                    lists = some.column(1)
+                    offsets, values = np.asarray(lists.offsets), np.asarray(lists.values, dtype=float)
+                    if (np.diff(offsets) == dims).all():
+                        x = values[offsets[0] : offsets[-1]].reshape(-1, dims)
+                        length = np.sqrt(np.einsum("ij,ij->i", x, x)).reshape(-1, 1)
+                        yield some.column(0), x / np.where(length > 0, length, 1)
+                    else:
+                        yield some.column(0), unit([values[a:b] for a, b in zip(offsets[:-1], offsets[1:])], dims)
+
+        def scores(x):
+            """(first query, scores) in single precision."""
+            x, width = x.astype("f4"), max(BLOCK // max(len(x), 1), 1)
+            for low in range(0, n, width):
+                yield low, x @ q[low : low + width].astype("f4").T
+
+        def learn(batches):
+            best = np.full((n, k), -np.inf, "f4")
+            for _, x in blocks(batches):
+                for low, s in scores(x):
+                    _seen(best, low, s)
+            yield from _reports(best)
+
+        def search(floors):
+            def run(batches):
+                for ids, x in blocks(batches):
+                    for low, s in scores(x):
+                        least = _local_floors(floors[low : low + s.shape[1]], s, k) - near
+                        at, of = np.nonzero(s >= least.astype("f4"))
+                        for i in range(0, len(at), 65536):
+                            a, o = at[i : i + 65536], of[i : i + 65536] + low
+                            exact = np.einsum("ij,ij->i", x[a], q[o])
+                            if threshold is not None:
+                                sure = exact >= threshold - 10.0**-digits
+                                a, o, exact = a[sure], o[sure], exact[sure]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(o)), ids.take(pa.array(a)), pa.array(exact)], ["query_id", "id", "score"])
+
+            return usable.mapInArrow(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+
+        floors = np.full(n, -np.inf)
+        if many and n:
+            floors = _floors(usable.where(F.pmod(F.xxhash64("id"), F.lit(DENSE_SEEDS)) == 0).mapInArrow(learn, "query long, score double, more long"), n, k)
+        return search(floors if threshold is None else np.maximum(floors, threshold))
 
     parts = [one_pass(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else queries) for i in range(passes)]
     scored = parts[0]
@@ -132,16 +217,15 @@ def words_of(text: Column) -> Column:
 
 
 def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): sums of products over shared terms.  documents: id, text (or terms, an array of words; or a row per term, with tf); queries: query_id, term, tf.
+    """(query_id, id, score, rank): sums of products over shared terms.  documents: id, text (or terms, an array of words; or a row per term, with tf); queries: query_id, term, tf (counts).
 
-    Query terms go to all tasks in passes of at most about ``TERM_PASS`` rows.  A task looks the
-    words of a batch up among them, adds up products by posting lists, and
-    sends each query's k best (and equal scores) of its documents on, so neither
-    common terms nor the number of documents that share one are ever shuffled.
+    Query terms go to all tasks in passes of at most about ``TERM_PASS`` rows of ``ASKED_PASS`` queries.  The terms that
+    weigh most in the queries have a dimension each, and the others share some, with the length of their counts as the number there.
+    So the product of two such vectors is never below the score, and over the terms' own dimensions never above it: tasks
+    multiply matrices, and add up exactly only the pairs that can reach the query's floor, and send on those that do.
 
-    The k-th best score among some documents, the ``SEEDS`` * k with the longest texts, is a floor of each query's
-    results.  No score exceeds the product of the two lengths (as vectors of counts), so a
-    document is scored only if its length lets it reach some query's floor.  This leaves no result out.
+    A floor is a score that k documents are known to reach, from the longest of each batch, one in ``SPARSE_SEEDS``.  No score exceeds
+    the product of the two lengths (as vectors of counts), so documents too short for every floor are not looked at. This leaves no result out.
     """
     import re
 
@@ -158,9 +242,8 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         documents = documents.select("id", F.col("terms").alias("body"), F.size("terms").alias("size")).where("body is not null")
     kinds = documents.schema["id"].dataType, queries.schema["query_id"].dataType
     arrow = [to_arrow_type(t) for t in kinds]
-    passes = max(1, math.ceil(queries.count() / TERM_PASS))
-    longest = documents.select("size").orderBy(F.desc("size")).limit(SEEDS * k).agg(F.min("size"), F.count("*")).first()
-    seeds = documents.where(F.col("size") >= longest[0]) if longest[1] == SEEDS * k else None  # fewer documents need no floors
+    asked = queries.agg(F.count("*"), F.count_distinct("query_id")).first()
+    passes = max(1, math.ceil(asked[0] / TERM_PASS), math.ceil(asked[1] / ASKED_PASS))
     word = WORD
 
     def words_in(body) -> tuple[np.ndarray, pa.Array]:
@@ -185,71 +268,112 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         coded = [pc.dictionary_encode(rows.column(i).combine_chunks()) for i in (0, 1)]
         names, words = (c.dictionary for c in coded)
         query, term = (c.indices.to_numpy().astype(int) for c in coded)
-        order = np.argsort(term, kind="stable")
-        first = np.searchsorted(term[order], np.arange(len(words) + 1))
-        query, tf, n = query[order], rows.column(2).to_numpy()[order], len(names)
+        tf, n, v = rows.column(2).to_numpy(), len(names), len(words)
         reach = np.maximum(np.sqrt(np.bincount(query, tf * tf, n)) * (1 + 1e-9), 1e-300)  # lengths of the queries
-
-        def kth_best(of: np.ndarray, scores: np.ndarray) -> np.ndarray:
-            """The k-th best score of each query; without so many none."""
-            order = np.lexsort((-scores, of))
-            start = np.searchsorted(of[order], np.arange(n + 1))
-            full = np.diff(start) >= k
-            out = np.full(n, -np.inf)
-            out[full] = scores[order[start[:-1][full] + k - 1]]
-            return out
-
-        def search(some: DataFrame, floors: np.ndarray):
+        place = np.empty(v, int)  # own dimensions first, then the shared ones
+        by_weight = np.argsort(-np.bincount(term, (tf / reach[query]) ** 2, v), kind="stable")
+        own = min(OWN_TERMS, v)
+        place[by_weight] = np.where(np.arange(v) < own, np.arange(v), own + (np.arange(v) - own) % SHARED_DIMS)
+        mine = place[term] < own
+        key = query[~mine] * v + term[~mine]
+        order = np.argsort(key)
+        key, key_tf = key[order], tf[~mine][order]
+        whole = bool((tf == np.rint(tf)).all())
+        asked_own = np.bincount(query[mine] * own + place[term[mine]], tf[mine], n * own).reshape(n, own).astype("f4" if whole else "f8")
+        asked_shared = np.sqrt(np.bincount(query[~mine] * SHARED_DIMS + place[term[~mine]] - own, tf[~mine] ** 2, n * SHARED_DIMS)).reshape(n, SHARED_DIMS).astype("f4")
+
+        def blocks(batches, able, choose):
+            """(ids, places of the documents, document, term, times, lengths) of at most 2,048 documents that ``able`` and ``choose`` leave."""
+            for batch in batches:
+                batch = able(batch)
+                if not batch.num_rows:
+                    continue
+                offsets, flat = words_in(batch.column(1))
+                at = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy()
+                parts = []
+                for low in range(0, batch.num_rows, 2048):
+                    rows = np.arange(low, min(low + 2048, batch.num_rows))
+                    doc, t, times = counts(offsets, rows, at)
+                    parts.append((rows, doc, t, times, np.sqrt(np.bincount(doc, times.astype(float) ** 2, len(rows)))))
+                for (rows, doc, t, times, length), stay in zip(parts, choose([p[-1] for p in parts])):
+                    if stay.any():
+                        to, held = np.cumsum(stay) - 1, stay[doc]
+                        yield batch.column(0), rows[stay], to[doc[held]], t[held], times[held], length[stay]
+
+        def vectors(size: int, doc, t, times, longest: float):
+            """(numbers of own terms, of shared dimensions)."""
+            kind = "f4" if whole and longest * reach.max() < 2**24 else "f8"  # whole numbers below that are exact in single precision
+            at = place[t]
+            mine = at < own
+            x = np.zeros((size, own), kind)
+            x[doc[mine], at[mine]] = times[mine]
+            return x, np.sqrt(np.bincount(doc[~mine] * SHARED_DIMS + at[~mine] - own, times[~mine].astype(float) ** 2, size * SHARED_DIMS)).reshape(size, SHARED_DIMS).astype("f4")
+
+        def longest(lengths):
+            every = np.sort(np.concatenate(lengths))
+            least = every[-max(math.ceil(len(every) / SPARSE_SEEDS), 1)]
+            return [x >= max(least, 1e-9) for x in lengths]
+
+        def large(batch):
+            sizes = np.sort(batch.column(2).to_numpy())
+            return batch.filter(pc.greater_equal(batch.column(2), int(sizes[-math.ceil(len(sizes) / SPARSE_SEEDS)]))) if len(sizes) else batch
+
+        def learn(batches):
+            best = np.full((n, k), -np.inf, "f4")
+            for _, rows, doc, t, times, length in blocks(batches, large, longest):
+                x, _ = vectors(len(rows), doc, t, times, length.max())
+                width = max(BLOCK // len(x), 1)
+                for low in range(0, n, width):
+                    s = x @ asked_own[low : low + width].astype(x.dtype).T
+                    _seen(best, low, np.where(s > 0, s, -np.inf))
+            yield from _reports(best)
+
+        def search(floors: np.ndarray):
             """Scores the documents that can reach the floor of a query."""
+            needed = float((floors / reach).min(initial=np.inf))
+            least = np.maximum(floors * (1 - 1e-5), 1e-30)
+
+            def able(batch):
+                # a text of so many letters has at most half as many words, and a length of at most its number of words
+                each = 2 if pa.types.is_string(batch.column(1).type) else 1
+                return batch.filter(pc.greater_equal(pc.add(batch.column(2), each - 1), max(each * needed, 1.0))) if needed < np.inf else batch.slice(0, 0)
+
+            def exact(d, q, doc, t, times):
+                """Sums over the terms without own dimensions, for some pairs."""
+                rest = place[t] >= own
+                doc, t, times = doc[rest], t[rest], times[rest]
+                first = np.searchsorted(doc, np.arange(d.max(initial=0) + 2))
+                size = first[d + 1] - first[d]
+                pair = np.repeat(np.arange(len(d)), size)
+                at = np.repeat(first[d] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                wanted = q[pair] * v + t[at]
+                found = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+                hit = np.flatnonzero(key[found] == wanted) if len(key) else np.zeros(0, int)
+                return np.bincount(pair[hit], times[at[hit]] * key_tf[found[hit]], len(d))
 
             def run(batches):
-                floor, ids, most = floors.copy(), [], 2 * n * k
-                held = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]  # places in ids, queries, scores
-                for batch in batches:
-                    needed = float((floor / reach).min(initial=np.inf))
-                    # a text of so many letters has at most half as many words, and a length of at most its number of words
-                    each = 2 if pa.types.is_string(batch.column(1).type) else 1
-                    able = batch.filter(pc.greater_equal(pc.add(batch.column(2), each - 1), max(each * needed, 1.0))) if needed < np.inf else batch.slice(0, 0)
-                    if not able.num_rows:
-                        continue
-                    picked, (offsets, flat) = able.column(0), words_in(able.column(1))
-                    at = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy()
-                    todo = np.flatnonzero(np.diff(offsets) >= max(needed, 1.0))
-                    for low in range(0, len(todo), 256):
-                        rows = todo[low : low + 256]
-                        doc, t, times = counts(offsets, rows, at)
-                        length = np.sqrt(np.bincount(doc, times.astype(float) ** 2, len(rows)))
-                        keep = length >= float((floor / reach).min(initial=np.inf))
-                        doc, t, times = doc[keep[doc]], t[keep[doc]], times[keep[doc]]
-                        listed = first[t + 1] - first[t]
-                        posting = np.repeat(first[t] - np.cumsum(listed) + listed, listed) + np.arange(listed.sum())
-                        scores = np.bincount(np.repeat(doc, listed) * n + query[posting], np.repeat(times, listed) * tf[posting], len(rows) * n).reshape(len(rows), n)
-                        d, q = np.nonzero((scores >= floor) & (scores != 0))
-                        if not len(d):
-                            continue
-                        hit, place = np.unique(d, return_inverse=True)
-                        held = [np.append(held[0], len(ids) + place), np.append(held[1], q), np.append(held[2], scores[d, q])]
-                        ids += picked.take(pa.array(rows[hit])).to_pylist()
-                        if len(held[0]) > most:
-                            floor = np.maximum(floor, kth_best(held[1], held[2]))
-                            stay = held[2] >= floor[held[1]]
-                            used, place = np.unique(held[0][stay], return_inverse=True)
-                            held, ids = [place, held[1][stay], held[2][stay]], [ids[i] for i in used.tolist()]
-                            most = 2 * max(n * k, len(place))
-                floor = np.maximum(floor, kth_best(held[1], held[2]))
-                stay = np.flatnonzero(held[2] >= floor[held[1]])
-                known = pa.array(ids, arrow[0])
-                for low in range(0, len(stay), 65536):
-                    s = stay[low : low + 65536]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(held[1][s])).cast(arrow[1]), known.take(pa.array(held[0][s])), pa.array(held[2][s])], ["query_id", "id", "score"])
-
-            return some.mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
+                for ids, rows, doc, t, times, length in blocks(batches, able, lambda lengths: [x >= max(needed, 1e-9) for x in lengths]):
+                    x, shared = vectors(len(rows), doc, t, times, length.max())
+                    width = max(BLOCK // len(x), 1)
+                    for low in range(0, n, width):
+                        s = x @ asked_own[low : low + width].astype(x.dtype).T
+                        bound = shared @ asked_shared[low : low + width].T
+                        bound *= 1 + 1e-5
+                        bound += s
+                        floor = np.maximum(_local_floors(floors[low : low + width], s, k) * (1 - 1e-5), least[low : low + width])
+                        d, q = np.nonzero(bound >= floor.astype(bound.dtype))
+                        for i in range(0, len(d), 16384):
+                            a, o = d[i : i + 16384], q[i : i + 16384]
+                            score = s[a, o] + exact(a, o + low, doc, t, times)
+                            stay = score >= floor[o]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(o[stay] + low)).cast(arrow[1]), ids.take(pa.array(rows[a[stay]])).cast(arrow[0]), pa.array(score[stay])], ["query_id", "id", "score"])
+
+            return documents.mapInArrow(run, f"query_id {kinds[1].simpleString()}, id {kinds[0].simpleString()}, score double")
 
         floors = np.full(n, -np.inf)
-        if seeds is not None:
-            found = ranked(search(seeds, floors), k, ["query_id"]).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row per query of the pass
-            floors[pc.index_in(found.column(0).combine_chunks().cast(names.type), value_set=names).to_numpy()] = found.column(1).to_numpy()
-        return search(documents, floors)
+        if n:
+            floors = _floors(documents.select("id", "body", "size").mapInArrow(learn, "query long, score double, more long"), n, k)
+        return search(floors)
 
     scored = None
     for i in range(passes):
@@ -374,8 +498,12 @@ def hybrid(dense: DataFrame, sparse: DataFrame | None, tagged: DataFrame | None,
 
 def lexical_score(query: Column, document: Column) -> Column:
     """Our default reranker: the share of the query's distinct words that the document holds."""
-    q = F.array_distinct(words_of(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.array_distinct(words_of(document)))) / F.size(q)).otherwise(0.0)
+    return word_share(F.array_distinct(words_of(query)), document)
+
+
+def word_share(words: Column, document: Column) -> Column:
+    """lexical_score() of a query's distinct words."""
+    return F.when(F.size(words) > 0, F.size(F.array_intersect(words, F.array_distinct(words_of(document)))) / F.size(words)).otherwise(0.0)
 
 
 def rerank(hits: DataFrame, query: Column, document: Column, top: int, scorer: Callable[[Column, Column], Column] = lexical_score) -> DataFrame:
@@ -447,10 +575,12 @@ def islands(hits: DataFrame, gap: int = MAX_GAP, per: Sequence[str] = ()) -> Dat
 def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, texts: DataFrame | None = None, tags: Sequence[str] = (), window: dict | None = None, reranker: Callable[[Column, Column], Column] | None = None, method: str = "rrf") -> DataFrame:
     """The whole search: branches with boosts, fusion, and with a reranker its order and merged chunks.
 
-    vectors: id, vector, content, source, idx, tags, modified; queries: query_id, query_vector, query_text.
+    vectors: id, vector, content, source, idx, tags, modified; queries: query_id, query_vector, query_text; texts: id, content (may be ``vectors`` itself).
     Without a reranker up to 4 * limit unmerged rows a query come back.
     """
+    same = texts is vectors
     vectors = fixed(vectors)  # read by every branch: embedded once
+    texts, queries = vectors if same else texts, fixed(queries)
     attributes = vectors.drop("vector")
     boost = boosted(F.col("score"), F.col("modified"), F.col("tags"), now, tags, window)
 
@@ -468,7 +598,10 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int, now: datetime, te
         first = raised(one, TAG_LIMIT).drop("query_id").where(F.col("rank") <= min(TAG_LIMIT, BRANCH_FACTOR * limit))
         tagged = queries.select("query_id").crossJoin(F.broadcast(first))
     hits = hybrid(branches[0], sparse, tagged, limit, method)
-    full = hits.join(attributes, "id").join(_small(queries.select("query_id", "query_text")), "query_id")
+    asked = queries.select("query_id", "query_text")
+    if reranker is lexical_score:  # a query's words are found once, not for each of its hits
+        asked, reranker = asked.withColumn("query_text", F.array_distinct(words_of(F.col("query_text")))), word_share
+    full = hits.join(attributes, "id").join(_small(asked), "query_id")
     if reranker is None:
         return full
     document = T.rerank_document(F.col("id").cast("string"), F.col("modified").cast("string"), F.col("tags"), F.col("content"))
@@ -488,15 +621,20 @@ def embed(df: DataFrame, text: str, dims: int = 64, name: str = "vector") -> Dat
         import re
         import zlib
 
+        class Hashes(dict):
+            def __missing__(self, word: str) -> int:
+                return self.setdefault(word, zlib.crc32(word.encode()))
+
+        hashes = Hashes()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            out = np.zeros((len(texts), dims))
-            for i, t in enumerate(texts):
-                for w in re.findall(r"\w+", (t or "").lower()):
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dims] += 1.0 if h >> 31 else -1.0
+            found = [re.findall(r"\w+", (t or "").lower()) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            if len(hashes) > 1 << 18:
+                hashes.clear()
+            h = np.array([hashes[w] for f in found for w in f], np.int64)
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            out = np.bincount(row * dims + h % dims, np.where(h >> 31, 1.0, -1.0), len(found) * dims).reshape(-1, dims)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-            yield batch.append_column(name, pa.array(list(out), pa.list_(pa.float64())))
+            yield batch.append_column(name, pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dims, pa.int32()), pa.array(out.ravel())))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, `{name}` array<double>")

@@ -671,12 +671,14 @@ def dbsf_fusion(spark, d):
 def hybrid_search(spark, d):
     """Branches with boosts, fusion, reranking and merged chunks, over hashed embeddings of chunks."""
     docs = _vault(spark, d)
-    chunks = text.exploded(docs, text.fixed_chunks("content", 400, 50), "idx", "piece")
+    # a file may be one task's: its texts are dealt to all
+    dealt = docs.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id")
+    chunks = text.exploded(dealt, text.fixed_chunks("content", 400, 50), "idx", "piece")
     rows = chunks.select(F.concat_ws("#", "path", F.col("idx").cast("string")).alias("id"), F.col("piece").alias("content"), F.col("path").alias("source"), "idx", "tags", "modified")
     vectors = retrieval.embed(rows, "content")
     asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.col("content").alias("query_text"))
     queries_ = retrieval.embed(asked, "query_text", name="query_vector")
-    return retrieval.search(vectors, queries_, 10, NOW, rows, ["en"], retrieval.decay_window("2024-01-01", "2024-02-01"), retrieval.lexical_score)
+    return retrieval.search(vectors, queries_, 10, NOW, vectors, ["en"], retrieval.decay_window("2024-01-01", "2024-02-01"), retrieval.lexical_score)
 
 
 def _hits(spark, d) -> DataFrame:

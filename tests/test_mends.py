@@ -99,6 +99,56 @@ def test_sparse_search_scores_what_can_reach_a_floor(spark):
     assert sent and sum(lengths[i] < 30 for i in sent) <= len(sent) / 10
 
 
+def test_dense_search_sends_what_can_reach_a_floor(spark, monkeypatch):
+    """Of many rows few are sent on, not the k best of every block; ties, zeros and vectors of other lengths count as before."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(6000)]
+    rows += [(6000 + i, v) for i, (_, v) in enumerate(rows[:20])] + [(7000, [0.0] * 8), (7001, None), (7002, rows[3][1] + [1.0]), (7003, rows[3][1][:5])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(12)
+    q = v.where("id < 20").selectExpr("id AS query_id", "vector AS query_vector")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    scored = []
+    real = retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda found, *a, **k: scored.append(found) or real(found, *a, **k))
+    try:
+        key = ["query_id", "id", "score", "rank"]
+        want = sorted(tuple(r) for r in retrieval.dense_topk(v, q, 10).select(*key).collect())
+        monkeypatch.setattr(retrieval, "MANY_PAIRS", 0)
+        assert sorted(tuple(r) for r in retrieval.dense_topk(v, q, 10).select(*key).collect()) == want
+        assert len(want) == 200 and scored[-1].count() < scored[-2].count() / 5 and scored[-1].count() <= 20 * 10 * 2 * retrieval.DENSE_SEEDS
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    vectors = {i: x for i, x in rows if x}
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / max((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 1e-300), 9)
+    for query in (0, 3, 19):
+        brute = sorted((-cosine(vectors[query], x), i) for i, x in vectors.items())[:10]
+        assert [r[1] for r in want if r[0] == query] == sorted(i for _, i in brute)
+
+
+def test_sparse_search_adds_up_few_pairs(spark):
+    """Chunks are all of about one length, so lengths leave none out: still few pairs are sent on."""
+    import random
+
+    draw = random.Random(9)
+    texts = [(i, " ".join(draw.choice("the of and a to in".split()) if draw.random() < 0.6 else f"w{int(draw.expovariate(0.01))}" for _ in range(60))) for i in range(3000)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(6)
+    queries = retrieval.sparse_rows(df.where("id % 100 = 0"), "id", "text", "query_id")
+    from pyspark.sql import functions as F
+
+    brute = df.select("id", F.explode(retrieval.words_of(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n")).join(queries, "term").groupBy("query_id", "id").agg(F.sum(F.col("n") * F.col("tf")).cast("double").alias("score"))
+    want = sorted(tuple(r) for r in retrieval.ranked(brute, 20, ["query_id"]).select("query_id", "id", "score", "rank").collect())
+    scored, real, own = [], retrieval.ranked, retrieval.OWN_TERMS
+    retrieval.ranked = lambda rows, *a, **k: scored.append(rows) or real(rows, *a, **k)
+    try:
+        for retrieval.OWN_TERMS in (own, 4):  # most terms have dimensions of their own, and most share them
+            assert sorted(tuple(r) for r in retrieval.sparse_topk(df, queries, 20).select("query_id", "id", "score", "rank").collect()) == want
+            assert retrieval.OWN_TERMS != own or scored[-1].count() < 30 * 20 * 3
+    finally:
+        retrieval.ranked, retrieval.OWN_TERMS = real, own
+
+
 def test_tree_answer(spark):
     from rivulet.sources import corpus
 
