@@ -28,12 +28,12 @@ QUERY_BYTES = 8 << 20
 QUERY_PASS = 2 << 20
 #: Rows of query terms that a task holds at once, and queries that have them.
 TERM_PASS, ASKED_PASS = 2 << 20, 8192
-#: Pairs of rows and queries that a task scores at once: 8 MB.
-BLOCK = 2 << 20
+#: Pairs of rows and queries that a task scores at once: 4 MB.
+BLOCK = 1 << 20
 #: Pairs beyond which a search first looks for floors.
 MANY_PAIRS = 1 << 26
 #: Terms of queries with a dimension of their own in a sparse search, and dimensions that the others share.
-OWN_TERMS, SHARED_DIMS = 448, 64
+OWN_TERMS, SHARED_DIMS = 192, 64
 #: A word of a lower-cased text, in Java's regular expressions as in Python's.
 WORD = "[0-9a-zà-ÿœß]+"
 #: One row in so many gives the floors: of a dense search any, of a sparse one the longest.
@@ -139,13 +139,13 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: in
         rows = part.select("query_id", "query_vector").collect()  # at most QUERY_PASS numbers, about
         dims = max((len(r["query_vector"]) for r in rows), default=1)
         names, q = pa.array([r["query_id"] for r in rows], asked_type), unit([r["query_vector"] for r in rows], dims)
-        n = len(q)
+        n, single = len(q), q.astype("f4")
 
         def blocks(batches):
-            """(ids, unit vectors) of at most 2,048 rows."""
+            """(ids, unit vectors) of at most 1,024 rows."""
             for batch in batches:
-                for low in range(0, batch.num_rows, 2048):
-                    some = batch.slice(low, 2048)
+                for low in range(0, batch.num_rows, 1024):
+                    some = batch.slice(low, 1024)
                     lists = some.column(1)
                     offsets, values = np.asarray(lists.offsets), np.asarray(lists.values, dtype=float)
                     if (np.diff(offsets) == dims).all():
@@ -159,7 +159,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int | None, digits: in
             """(first query, scores) in single precision."""
             x, width = x.astype("f4"), max(BLOCK // max(len(x), 1), 1)
             for low in range(0, n, width):
-                yield low, x @ q[low : low + width].astype("f4").T
+                yield low, x @ single[low : low + width].T
 
         def learn(batches):
             best = np.full((n, k), -np.inf, "f4")
@@ -281,21 +281,22 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         whole = bool((tf == np.rint(tf)).all())
         asked_own = np.bincount(query[mine] * own + place[term[mine]], tf[mine], n * own).reshape(n, own).astype("f4" if whole else "f8")
         asked_shared = np.sqrt(np.bincount(query[~mine] * SHARED_DIMS + place[term[~mine]] - own, tf[~mine] ** 2, n * SHARED_DIMS)).reshape(n, SHARED_DIMS).astype("f4")
+        asked_both = np.hstack([asked_own.astype("f4"), asked_shared])
 
         def blocks(batches, able, choose):
-            """(ids, places of the documents, document, term, times, lengths) of at most 2,048 documents that ``able`` and ``choose`` leave."""
+            """(ids, places of the documents, document, term, times, lengths) of at most 1,024 documents that ``able`` and ``choose`` leave."""
             for batch in batches:
-                batch = able(batch)
+                total, batch = batch.num_rows, able(batch)
                 if not batch.num_rows:
                     continue
                 offsets, flat = words_in(batch.column(1))
                 at = pc.index_in(flat, value_set=words).fill_null(-1).to_numpy()
                 parts = []
-                for low in range(0, batch.num_rows, 2048):
-                    rows = np.arange(low, min(low + 2048, batch.num_rows))
+                for low in range(0, batch.num_rows, 1024):
+                    rows = np.arange(low, min(low + 1024, batch.num_rows))
                     doc, t, times = counts(offsets, rows, at)
                     parts.append((rows, doc, t, times, np.sqrt(np.bincount(doc, times.astype(float) ** 2, len(rows)))))
-                for (rows, doc, t, times, length), stay in zip(parts, choose([p[-1] for p in parts])):
+                for (rows, doc, t, times, length), stay in zip(parts, choose([p[-1] for p in parts], total)):
                     if stay.any():
                         to, held = np.cumsum(stay) - 1, stay[doc]
                         yield batch.column(0), rows[stay], to[doc[held]], t[held], times[held], length[stay]
@@ -309,9 +310,9 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             x[doc[mine], at[mine]] = times[mine]
             return x, np.sqrt(np.bincount(doc[~mine] * SHARED_DIMS + at[~mine] - own, times[~mine].astype(float) ** 2, size * SHARED_DIMS)).reshape(size, SHARED_DIMS).astype("f4")
 
-        def longest(lengths):
+        def longest(lengths, total):
             every = np.sort(np.concatenate(lengths))
-            least = every[-max(math.ceil(len(every) / SPARSE_SEEDS), 1)]
+            least = every[-min(math.ceil(total / SPARSE_SEEDS), len(every))]
             return [x >= max(least, 1e-9) for x in lengths]
 
         def large(batch):
@@ -324,7 +325,7 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 x, _ = vectors(len(rows), doc, t, times, length.max())
                 width = max(BLOCK // len(x), 1)
                 for low in range(0, n, width):
-                    s = x @ asked_own[low : low + width].astype(x.dtype).T
+                    s = x @ asked_own[low : low + width].astype(x.dtype, copy=False).T
                     _seen(best, low, np.where(s > 0, s, -np.inf))
             yield from _reports(best)
 
@@ -352,19 +353,21 @@ def sparse_topk(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 return np.bincount(pair[hit], times[at[hit]] * key_tf[found[hit]], len(d))
 
             def run(batches):
-                for ids, rows, doc, t, times, length in blocks(batches, able, lambda lengths: [x >= max(needed, 1e-9) for x in lengths]):
+                for ids, rows, doc, t, times, length in blocks(batches, able, lambda lengths, _: [x >= max(needed, 1e-9) for x in lengths]):
                     x, shared = vectors(len(rows), doc, t, times, length.max())
                     width = max(BLOCK // len(x), 1)
+                    both = np.hstack([x.astype("f4", copy=False), shared])
                     for low in range(0, n, width):
-                        s = x @ asked_own[low : low + width].astype(x.dtype).T
-                        bound = shared @ asked_shared[low : low + width].T
-                        bound *= 1 + 1e-5
-                        bound += s
-                        floor = np.maximum(_local_floors(floors[low : low + width], s, k) * (1 - 1e-5), least[low : low + width])
-                        d, q = np.nonzero(bound >= floor.astype(bound.dtype))
+                        bound = both @ asked_both[low : low + width].T
+                        floor = least[low : low + width]
+                        if np.isneginf(floors[low : low + width]).any():
+                            s = x @ asked_own[low : low + width].astype(x.dtype, copy=False).T
+                            floor = np.maximum(_local_floors(floors[low : low + width], s, k) * (1 - 1e-5), floor)
+                        at = np.flatnonzero(bound >= (floor * (1 - 1e-5)).astype("f4"))
+                        d, q = np.divmod(at, bound.shape[1])
                         for i in range(0, len(d), 16384):
                             a, o = d[i : i + 16384], q[i : i + 16384]
-                            score = s[a, o] + exact(a, o + low, doc, t, times)
+                            score = np.einsum("ij,ij->i", x[a], asked_own[o + low]) + exact(a, o + low, doc, t, times)
                             stay = score >= floor[o]
                             yield pa.RecordBatch.from_arrays([names.take(pa.array(o[stay] + low)).cast(arrow[1]), ids.take(pa.array(rows[a[stay]])).cast(arrow[0]), pa.array(score[stay])], ["query_id", "id", "score"])
 
@@ -631,8 +634,8 @@ def embed(df: DataFrame, text: str, dims: int = 64, name: str = "vector") -> Dat
             if len(hashes) > 1 << 18:
                 hashes.clear()
             h = np.array([hashes[w] for f in found for w in f], np.int64)
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            out = np.bincount(row * dims + h % dims, np.where(h >> 31, 1.0, -1.0), len(found) * dims).reshape(-1, dims)
+            row = np.repeat(np.arange(len(found)), np.array([len(f) for f in found], int))
+            out = np.bincount(row * dims + h % dims, np.where(h >> 31, 1.0, -1.0), len(found) * dims).astype(float).reshape(-1, dims)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
             yield batch.append_column(name, pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * dims, pa.int32()), pa.array(out.ravel())))
 
